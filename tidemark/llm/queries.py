@@ -26,3 +26,46 @@ from t join g on t.body = g.body
 
 QUERIES = {"op6_exact_dedup": op6_exact_dedup}
 ORACLES = {"op6_exact_dedup": OP6_SQL}
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.common import Workspace
+    from tidemark.llm.warc import archive_pages, read_archives
+
+    ws = Workspace(spark, "op4")
+    archive_pages(table(spark, sf_dir, "pages"), ws.path("archives"), min_bytes=0, ws=ws)
+    records = read_archives(spark, ws.path("archives"))
+    return records.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, strlen(body) as payload_bytes, sha1(body) as hex, cast(cast(unhex(sha1(body)) as bit) as varchar) as bits from p),
+f as (select hex, min(page_id) as first_id from h group by hex)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * cast(substr(bits, 5 * i + 1, 1) as bigint) + 8 * cast(substr(bits, 5 * i + 2, 1) as bigint) + 4 * cast(substr(bits, 5 * i + 3, 1) as bigint)
+    + 2 * cast(substr(bits, 5 * i + 4, 1) as bigint) + cast(substr(bits, 5 * i + 5, 1) as bigint), 1)), '') as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id = first_id then null else first_id end as refers_to
+from h join f using (hex)
+"""
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.maxscore import topk_inner_product
+
+    return topk_inner_product(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+OP5_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+QUERIES |= {"op4_warc": op4_warc, "op5_topk": op5_topk}
+ORACLES |= {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL}
