@@ -69,3 +69,14 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 QUERIES |= {"op4_warc": op4_warc, "op5_topk": op5_topk}
 ORACLES |= {"op4_warc": OP4_SQL, "op5_topk": OP5_SQL}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack, token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048), 2048)
+
+
+QUERIES |= {"op1_packing": op1_packing}
