@@ -80,3 +80,32 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_packing": op1_packing}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix, source_rates
+
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, source_rates(docs, alpha=0.7), seed=17).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.round("mix_rate", 9).alias("rate"), F.col("mix_copy").alias("copy"), F.col("mix_key").alias("shuffle_key"))
+
+
+OP8_SQL = """
+with d as (select doc_id, coalesce(source, '') as source, strlen(coalesce(text, '')) + 1 as n from documents),
+b as (select source, cast(sum(n) as double) as bytes from d group by source),
+r as (select source, pow(bytes, 0.7) / (select sum(pow(bytes, 0.7)) from b) * (select sum(bytes) from b) / bytes as rate from b),
+u as (select doc_id, source, rate, cast(('0x' || substr(md5('17|' || doc_id || '|1'), 1, 13)) as bigint) / 4503599627370496.0 as u from d join r using (source)),
+c as (select *, (select count(*) from range(0, 80) k(i) where u > (select sum(exp(-rate) * pow(rate, j) / gamma(j + 1.0)) from range(0, 80) t(j) where j <= i)) as n from u)
+select doc_id, source, round(rate, 9) as rate, cast(copy as integer) as copy,
+  cast(('0x' || substr(md5('17|' || doc_id || '|' || copy || '|order'), 1, 15)) as bigint) as shuffle_key
+from c, lateral (select unnest(range(1, n + 1)) as copy)
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), key="0123-fixture-key").withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"op8_mixing": op8_mixing, "op9_pii": op9_pii}
+ORACLES |= {"op8_mixing": OP8_SQL}
