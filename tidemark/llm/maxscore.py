@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def _search(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(candidates) or not len(queries):
             return schema.empty_table()
-        longest = lambda t: int(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py() or 0)
+        longest = lambda t: int(pc.max(pc.list_value_length(t.column("v"))).as_py() or 0)
         width = max(longest(candidates), longest(queries))
         ids, x = _matrix(candidates, width)
         q_ids, q = _matrix(queries, width)
