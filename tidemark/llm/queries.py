@@ -109,3 +109,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op8_mixing": op8_mixing, "op9_pii": op9_pii}
 ORACLES |= {"op8_mixing": OP8_SQL}
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), percent=75).withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"op7_near_dedup": op7_near_dedup}
