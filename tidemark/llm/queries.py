@@ -118,3 +118,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_near_dedup": op7_near_dedup}
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import quality_selection
+
+    return quality_selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"op3_quality": op3_quality}
