@@ -140,3 +140,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_suffix_dedup": op2_suffix_dedup}
+
+
+def op10_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.hpylm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES |= {"op10_hpylm": op10_hpylm}
