@@ -2,13 +2,81 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict:
+def query(name: str, oracle: str | None = None):
+    """Registers a query (spark, path) and the SQL whose rows it must equal."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidemark.plans import indicators, ingest, labels, models, ranking, scores, streams, trends  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
+
+
+#: The panels as CTEs, for SQL that knows the base tables only.
+_NAMES = dict.fromkeys(("lineitem", "supplier", "nation", "region", "events", "bars_raw", "listings"))
+CTES = ", ".join(
+    f"{name} as ({text.format(**{n: n for n in _NAMES})})"
+    for name, text in (("bars_raw", tables.BARS_RAW), ("bars_walk", tables.BARS_WALK), ("listings", tables.LISTINGS), ("fundamentals", tables.FUNDAMENTALS), ("watchlist", tables.WATCHLIST), ("ticks", tables.TICKS))
+)
+
+
+def with_panels(sql: str, *more: tuple[str, str]) -> str:
+    """sql after the panels and further CTEs (name, text)."""
+    return "with " + ", ".join([CTES, *(f"{n} as ({t})" for n, t in more)]) + " " + sql
+
+
+class Chain:
+    """CTEs c0, c1, ... each adding columns to the one before; the windows below are written into them."""
+
+    def __init__(self, source: str, named: tuple[tuple[str, str], ...] = ()):
+        self.steps, self.last = list(named), source
+
+    def add(self, *columns: str, where: str = "") -> Chain:
+        out = Chain(f"c{len(self.steps)}", tuple(self.steps))
+        out.steps.append((out.last, f"select *, {', '.join(columns)} from {self.last}" + (f" where {where}" if where else "")))
+        return out
+
+    def ewm(self, x: str, name: str, alpha: float) -> Chain:
+        """The exponential mean from the first value of x on, as a scaled running sum."""
+        q = 1 - alpha
+        a = self.add(f"{x} as x_{name}").add(f"count(x_{name}) {SO_FAR} - 1 as t_{name}")
+        return a.add(f"case when x_{name} is not null then pow({q!r}, t_{name}) * sum(case when t_{name} = 0 then x_{name} else {alpha!r} * x_{name} end * pow({q!r}, -t_{name})) {SO_FAR} end as {name}")
+
+    def sql(self, select: str) -> str:
+        return with_panels(select.replace("{last}", self.last), *self.steps)
+
+
+OVER = "over (partition by symbol order by date)"
+SO_FAR = "over (partition by symbol order by date rows between unbounded preceding and current row)"
+
+
+def over(n: int) -> str:
+    return f"over (partition by symbol order by date rows between {n - 1} preceding and current row)"
+
+
+def filled(expression: str, x: str, n: int) -> str:
+    """expression where the last n values of x are all there."""
+    return f"case when count({x}) {over(n)} >= {n} then {expression} end"
