@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,12 @@ def least_matches(n: int, percent: int, miss: float) -> int:
     return n
 
 
+@cache
+def verifier(percent: int, miss: float) -> Verifier:
+    """One per worker process: its bounds take longer to find than a group to verify."""
+    return Verifier(percent, miss)
+
+
 class Verifier:
     def __init__(self, percent: int, miss: float):
         self.percent, self.minhash = percent, MinHash(HASHES)
@@ -60,7 +67,7 @@ def _star(percent: int, miss: float):
     """Links between a bucket's hub and its other members."""
 
     def run(rows: pa.Table) -> pa.Table:
-        v = Verifier(percent, miss)
+        v = verifier(percent, miss)
         ids, lead = rows.column("id").to_numpy(), rows.column("lead").to_numpy(zero_copy_only=False)
         if not lead.any():
             return LINKS.empty_table()
@@ -76,7 +83,7 @@ def _block(percent: int, miss: float):
     """Links across two blocks of a bucket (or within one), between documents not yet connected."""
 
     def run(rows: pa.Table) -> pa.Table:
-        v = Verifier(percent, miss)
+        v = verifier(percent, miss)
         ids, comp, block = (rows.column(c).to_numpy() for c in ("id", "comp", "block"))
         one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
         sets, sig = v.prepared(rows.column("body").to_pylist())
