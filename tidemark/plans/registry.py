@@ -65,6 +65,19 @@ class Chain:
         a = self.add(f"{x} as x_{name}").add(f"count(x_{name}) {SO_FAR} - 1 as t_{name}")
         return a.add(f"case when x_{name} is not null then pow({q!r}, t_{name}) * sum(case when t_{name} = 0 then x_{name} else {alpha!r} * x_{name} end * pow({q!r}, -t_{name})) {SO_FAR} end as {name}")
 
+    def at(self, index: str, **values: str) -> Chain:
+        """Values of the same symbol's bar number `index` (an expression of a)."""
+        out = Chain(f"c{len(self.steps)}", tuple(self.steps))
+        picked = ", ".join(f"b.{c} as {n}" for n, c in values.items())
+        out.steps.append((out.last, f"select a.*, {picked} from {self.last} a left join {self.last} b on a.symbol = b.symbol and b.idx = {index}"))
+        return out
+
+    def island(self, sign: str, name: str) -> Chain:
+        """Signed length of the run of equal signs that ends here; null signs carry it on."""
+        a = self.add(f"{sign} as s_{name}").add(f"last_value(s_{name} ignore nulls) over (partition by symbol order by date rows between unbounded preceding and 1 preceding) as p_{name}")
+        a = a.add(f"sum(case when s_{name} is not null and (p_{name} is null or s_{name} <> p_{name}) then 1 else 0 end) {SO_FAR} as i_{name}")
+        return a.add(f"cast(coalesce(last_value(s_{name} ignore nulls) {SO_FAR} * count(s_{name}) over (partition by symbol, i_{name} order by date rows between unbounded preceding and current row), 0) as integer) as {name}")
+
     def sql(self, select: str) -> str:
         return with_panels(select.replace("{last}", self.last), *self.steps)
 
