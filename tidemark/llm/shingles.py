@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-WORDS = 1_000_000  # word hashes that a worker keeps
+WORDS = 400_000  # word hashes that a worker keeps
 _rng = np.random.Generator(np.random.PCG64(20240229))
 PLACE = _rng.integers(1, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)
 M1, M2, M3 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
