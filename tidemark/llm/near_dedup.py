@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, Workspace, shuffle_partitions
+from tidemark.llm.common import KeyFilter, Workspace, claim_cache, shuffle_partitions
 from tidemark.llm.graph import components
-from tidemark.llm.shingles import M3, MinHash, scrambled, shingle_hashes
+from tidemark.llm.shingles import M3, MinHash, _words, scrambled, shingle_hashes
 
 HASHES, ROWS, BATCH, BLOCK = 128, 4, 32, 256
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -42,6 +42,7 @@ class Verifier:
         self.least = [(n, least_matches(n, percent, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
 
     def prepared(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        claim_cache(_words)
         sets = [shingle_hashes(t) for t in texts]
         return sets, self.minhash.signatures(sets)
 
@@ -105,6 +106,7 @@ def _digest(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(_words)
         minhash = MinHash(HASHES)
         for batch in batches:
             for at in range(0, len(batch), 256):

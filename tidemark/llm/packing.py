@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, claim_cache
 
-CACHED = 700_000  # chunks of text whose ids a worker keeps; others are encoded anew
+CACHED = 600_000  # chunks of text whose ids a worker keeps; others are encoded anew
 _caches: dict[str, ChunkIds] = {}
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
 MARKED = re.compile(r"([^\W\d_]+)([^\w\s]+)")
@@ -107,6 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_ids(tokenizer)
+        claim_cache(encoder.known)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes = texts.to_pylist()

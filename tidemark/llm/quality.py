@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, claim_cache
 from tidemark.llm.shingles import PLACE, scrambled
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 SAMPLE = 20_000  # labelled rows that the target model is fitted on, at most
 BUCKETS = 1 << 14
-KNOWN = 1_000_000  # token hashes that a worker keeps
+KNOWN = 300_000  # token hashes that a worker keeps
 
 
 class TokenHashes(dict):
@@ -41,6 +41,7 @@ def features(text: str) -> np.ndarray:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this partition by bucket: of all texts, and of the target's."""
+    claim_cache(_tokens)
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -73,6 +74,7 @@ def _scores(weights: np.ndarray):
     schema = pa.schema([("id", pa.int64()), ("n_features", pa.int64()), ("log_ratio", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache(_tokens)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
