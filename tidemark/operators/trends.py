@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_symbol, lag, rows, so_far
 from tidemark.operators import indicators as ind
 
-PAST = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+def past() -> WindowSpec:
+    """All bars before the current one."""
+    return by_symbol().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def indexed(df: DataFrame) -> DataFrame:
@@ -19,7 +21,7 @@ def indexed(df: DataFrame) -> DataFrame:
 def _island_run(df: DataFrame, sign: Column, out: str) -> DataFrame:
     """Signed length of the run of equal signs that ends here; rows whose sign is null carry it on."""
     df = df.withColumn("__s", sign)
-    before = F.last("__s", ignorenulls=True).over(PAST)
+    before = F.last("__s", ignorenulls=True).over(past())
     change = F.when(F.col("__s").isNotNull() & (before.isNull() | (F.col("__s") != before)), 1).otherwise(0)
     df = df.withColumn("__c", change).withColumn("__isl", F.sum("__c").over(so_far()))
     inside = Window.partitionBy("symbol", "__isl").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,7 +69,7 @@ def tolerant_run(df: DataFrame, good: Column, soft: Column, hard: Column, name:
     i = F.col("idx")
     real = i > 0
     df = df.withColumn("__soft", F.when(real & soft, i)).withColumn("__hard", F.when(real & hard, i))
-    df = df.withColumn("__soft_before", F.coalesce(F.last("__soft", ignorenulls=True).over(PAST), F.lit(0)))
+    df = df.withColumn("__soft_before", F.coalesce(F.last("__soft", ignorenulls=True).over(past()), F.lit(0)))
     df = df.withColumn("__second", F.last(F.when(F.col("__soft").isNotNull(), F.col("__soft_before")), ignorenulls=True).over(so_far()))
     df = df.withColumn("__soft1", F.last("__soft", ignorenulls=True).over(so_far())).withColumn("__hard1", F.last("__hard", ignorenulls=True).over(so_far()))
     df = df.withColumn(f"{name}_stop", F.greatest(F.coalesce("__second", F.lit(0)), F.coalesce("__hard1", F.lit(0)), i - cap, F.lit(0)))

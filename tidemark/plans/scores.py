@@ -117,7 +117,8 @@ G09_SQL = f"""select symbol, date, cast(round_even(round(100 * (case when ml <>
 def g09(spark, path):
     df = spark.sql(G09_ROWS.replace("{bars}", "{b}"), b=bars_walk(spark, path))
     names = ["Weak", "Moderate", "Strong"]
-    label = lambda c, form: F.element_at(F.array(*[F.lit(form.format(s, g)) for s in ("Bullish", "Bearish") for g in names]), F.when(F.col(c).between(1, 6), F.col(c)).cast("int"))
+    forms = [(side, g) for side in ("Bullish", "Bearish") for g in names]
+    label = lambda c, form: F.coalesce(*[F.when(F.col(c) == i + 1, form.format(*f)) for i, f in enumerate(forms)])
     rules, ml, ut = label("rr", "{}Reversal{}"), label("rm", "{}Reversal-ML{}"), label("ut", "{}Reversal[{}]")
     c = F.col
     points = sc.swing_points(*(c(x).cast("double") for x in ("ml", "rules")), c("pri"), c("sec"), c("x").cast("double"), c("up"), c("adx").cast("double"), sc.reversal_points(rules, False), sc.reversal_points(ml, True), sc.uturn_value(ut), *(c(x).cast("double") for x in ("days", "hi", "lo")))

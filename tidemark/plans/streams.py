@@ -1 +1,39 @@
+"""Queries over streams (M01, M02); they read a table as a stream and end with it."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.ingest import scratch
+from tidemark.plans.registry import query, with_panels
+from tidemark.sources.tables import bars_walk, ticks
+from tidemark.streaming import bars as st
+
+M01 = """select * from (select symbol, cast(date_trunc('day', ts) as timestamp) as start, arg_min(price, (ts, event_id)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as close, count(*) as n_ticks
+  from ticks group by symbol, date_trunc('day', ts)) where start + interval 1 day <= (select max(ts) from ticks) - interval 2 day"""
+
+
+@query("M01_stream_bars", with_panels(M01))
+def m01(spark, path):
+    """Bars that the watermark has closed at the end of the stream, from a table read as a stream."""
+    landed, to = scratch(spark, "ticks"), scratch(spark, "bars")
+    ticks(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(landed)
+    stream = spark.readStream.schema(spark.read.parquet(landed).schema).parquet(landed)
+    st.stream_bars(stream, to, scratch(spark, "bars-checkpoint"))
+    return spark.read.parquet(to)
+
+
+@query("M02_upsert_and_learn")
+def m02(spark, path):
+    """The table after all micro-batches, each row with the online model's probability."""
+    landed, store = scratch(spark, "landed"), scratch(spark, "store")
+    b = bars_walk(spark, path)
+    rows = b.select("symbol", "date", ((F.col("close") - F.col("open")) / F.col("open")).alias("move"), (F.col("volume") / 100.0).alias("size"), (F.col("volume") % 2).cast("int").alias("label"))
+    rows.repartition(4, "symbol").write.parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    weights, step = st.learner(["move", "size"])
+    batches = []
+    st.upsert_batches(stream, spark, store, scratch(spark, "store-checkpoint"), ["symbol", "date"], lambda df, n: (step(df, n), batches.append(n)))
+    from tidemark.operators.models import logistic
+
+    return spark.read.parquet(f"{store}/v{max(batches)}").withColumn("p", logistic(weights, ["move", "size"]))
