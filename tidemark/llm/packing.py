@@ -153,7 +153,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_victi
 
     The emptiest bin gives its items away: an item moves to a bin with room for it (the fullest such), or is exchanged for
     one smaller item, or for two smaller ones together, or two of its items for one, of a bin that has room for the
-    difference (the largest difference). All leave the emptier bin emptier and a fuller one fuller. A bin that can't be
+    difference (the largest difference, then the one that leaves the least room). All leave the emptier bin emptier and a fuller one fuller. A bin that can't be
     emptied in max_steps is left as it is; after max_victims such bins, or at the bound total/capacity, the search ends.
     """
     bins = bins.copy()
@@ -212,9 +212,10 @@ def _step(lengths, bins, fill, capacity, victim, own, items, first, second) -> b
         nonlocal best
         ok = np.flatnonzero((gain > 0) & (gain <= room))
         if len(ok):
-            j = ok[np.argmax(gain[ok])]
-            if best is None or gain[j] > best[0]:
-                best = int(gain[j]), mine, int(target[j]), theirs(j)
+            worth = gain[ok] * (capacity + 1) - (room[ok] - gain[ok])
+            j = ok[np.argmax(worth)]
+            if best is None or worth.max() > best[0]:
+                best = int(worth.max()), mine, int(target[j]), theirs(j)
 
     for i in own:
         consider([i], lengths[i] - size, room, where, lambda j: [int(items[j])])

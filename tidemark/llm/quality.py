@@ -56,10 +56,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(used.astype(np.int32)), "raw": raw[used], "target": target[used]})
 
 
-def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 1.0) -> np.ndarray:
+def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1000.0) -> np.ndarray:
     """log p_target - log p_raw of each bucket (a vector of BUCKETS numbers, whatever the input).
 
-    Raw counts cover all documents; target_ids (column `target_id`) must be bounded, as it is broadcast.
+    Raw counts cover all documents; target_ids (column `target_id`) must be bounded, as it is broadcast. The target model is
+    smoothed towards the raw one by `prior` features, so that a small target is not told by what it happens to lack.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     flagged = base.join(F.broadcast(target_ids), F.col("id") == F.col("target_id"), "left")
@@ -67,7 +68,9 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most BUCKETS rows
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
-    return np.log((target + smoothing) / (target.sum() + smoothing * BUCKETS)) - np.log((raw + smoothing) / (raw.sum() + smoothing * BUCKETS))
+    p_raw = raw / max(1.0, raw.sum())
+    p_target = (target + prior * p_raw) / (target.sum() + prior)
+    return np.log(np.divide(p_target, p_raw, out=np.ones(BUCKETS), where=p_raw > 0))
 
 
 def _scores(weights: np.ndarray):
