@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,29 +204,45 @@ def _sides(spark, path, build, column: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _sides_sql(column: str, where: str) -> str:
+def _both_sides() -> tuple[list[tuple[str, str]], str, str]:
+    """CTEs of both sides, the bear's renamed, and the last of each."""
     bull, bear = side_chain("bull"), side_chain("bear")
-    named = [(n, t) for n, t in bull.steps]
-    move = {n: f"b{n}" for n, _ in bear.steps}
-    import re
+    names = {n for n, _ in bear.steps}
+    moved = [(f"b{n}", re.sub(r"\b(c\d+)\b(?=( a\b| b\b|$| where| \())", lambda m: f"b{m[1]}" if m[1] in names else m[0], t)) for n, t in bear.steps]
+    return [*bull.steps, *moved], bull.last, f"b{bear.last}"
+
+
+def _sides_sql(column: str, where: str) -> str:
+    steps, bull, bear = _both_sides()
+    return Chain("x", tuple(steps)).sql(" union all ".join(f"select symbol, date, '{side}' as side, round({column}_, 5) as {column} from {last} where {where}" for side, last in (("bull", bull), ("bear", bear))))
+
 
-    named += [(move[n], re.sub(r"\bc(\d+)\b(?=( a\b| b\b|$| where| \())", lambda m: f"bc{m[1]}" if f"c{m[1]}" in move else m[0], t)) for n, t in bear.steps]
-    both = " union all ".join(f"select symbol, date, '{side}' as side, round({column}_, 5) as {column} from {last} where {where}" for side, last in (("bull", bull.last), ("bear", move[bear.last])))
-    return Chain("x", tuple(named)).sql(both)
+def _label_steps() -> Chain:
+    steps, bull, bear = _both_sides()
+    part = lambda last: f"select symbol, date, pattern_score_ * confirm_score_ as s from {last} where pattern_score_ > 0"
+    steps += [
+        ("lab0", f"select d.symbol, d.date, d.close, d.atr, d.vol20, coalesce(x.s, 0) as b, coalesce(y.s, 0) as r, greatest(coalesce(x.s, 0), coalesce(y.s, 0)) as best from {bull} d left join ({part(bull)}) x on d.symbol = x.symbol and d.date = x.date left join ({part(bear)}) y on d.symbol = y.symbol and d.date = y.date"),
+        ("lab1", "select *, case when best >= 0.70 then 'Strong' when best >= 0.45 then 'Moderate' when best >= 0.20 then 'Weak' end as strength, b >= r as up_ from lab0"),
+        ("lab2", "select *, case when strength is null then 'NoReversal' else case when up_ then 'Bullish' else 'Bearish' end || 'Reversal' || strength end as reversal, case when atr > 0 then case strength when 'Strong' then 1.0 when 'Moderate' then 1.5 else 2.0 end * atr else close * 0.03 end as away from lab1"),
+        ("lab3", "select *, case when up_ then 1.0 else -1.0 end as sg, case strength when 'Strong' then 2.0 when 'Moderate' then 1.8 else 1.5 end as rr from lab2"),
+    ]
+    return Chain("lab3", tuple(steps))
 
 
 query("F19_pattern_score", _sides_sql("pattern_score", "cand"))(lambda spark, path: _sides(spark, path, rv.pattern_scores, "pattern_score"))
 query("F20_confirmation_score", _sides_sql("confirm_score", "pattern_score_ > 0"))(lambda spark, path: _sides(spark, path, rv.confirmation_scores, "confirm_score"))
 
 
-@query("F21_reversal_label")
+@query("F21_reversal_label", _label_steps().sql("select symbol, date, reversal from {last}"))
 def f21(spark, path):
     return rv.reversal_labels(panel(spark, path)).select("symbol", "date", "reversal")
 
 
-@query("F22_trade_plan")
+@query("F22_trade_plan", _label_steps().sql("select symbol, date, reversal, round(close - sg * away, 4) as stop_price, round(close + sg * rr * away, 4) as target_price, cast(least(case when away > 0 then floor(1000.0 / (away + 1e-9)) else 0 end, case when vol20 > 0 then floor(vol20 * 10) else 1e18 end) as bigint) as position_size from {last} where strength is not null"))
 def f22(spark, path):
-    return rv.trade_plan(rv.reversal_labels(panel(spark, path)), least_volume=100.0).filter("strength is not null").select("symbol", "date", "reversal", "stop_price", "target_price", "position_size")
+    labels = rv.reversal_labels(panel(spark, path)).withColumn("vol20", F.col("vol20") * 1000)  # the walk's volumes are small
+    plan = rv.trade_plan(labels, least_volume=100.0).filter("strength is not null")
+    return plan.select("symbol", "date", "reversal", F.round("stop_price", 4).alias("stop_price"), F.round("target_price", 4).alias("target_price"), F.col("position_size").cast("bigint"))
 
 
 MARKET = Chain("bars_walk", (("idx_", "select date, 'index' as symbol, avg(close) as close from bars_walk group by date"), ("m0", f"select *, close - lag(close) {OVER} as chg from idx_"), ("m1", f"select *, count(chg) {over(14)} as n_, avg(greatest(chg, 0.0)) filter (chg is not null) {over(14)} as g_, avg(greatest(-chg, 0.0)) filter (chg is not null) {over(14)} as l_ from m0"), ("m2", "select date, case when n_ >= 14 then 100 - 100 / (1 + g_ / (l_ + 1e-9)) else 50.0 end as r from m1")))
