@@ -13,6 +13,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import ranking as rk
 from tidemark.operators import reversal as rv
 from tidemark.operators import trends as tr
+from tidemark.plans.indicators import CANDLES, SPIKE
 from tidemark.plans.ingest import scratch
 from tidemark.plans.registry import OVER, SO_FAR, Chain, filled, over, query
 from tidemark.plans.trends import IDX, PATTERN, REVERSAL, TREND, labelled
@@ -274,9 +275,24 @@ def f24(spark, path):
     return extreme_rows(spark, path).filter("side <> 0").select("symbol", "date", "side")
 
 
-@query("F25_rule_score")
+def _pick(cond: str) -> str:
+    return f"case when coalesce({cond}, false) then 0.65 else 0.45 end"
+
+
+RULED = (
+    EXTREME.add(SPIKE, *CANDLES, f"coalesce((ema20 - lag(ema20, 5) {OVER}) / nullif(atr * 5, 0), 0.0) as fast_", f"avg(close) {over(20)} as m20_", f"stddev_pop(close) {over(20)} as s20_", f"lag(close) {OVER} as cl1")
+    .add(f"lag(m20_ + 2 * s20_) {OVER} as hi1", f"lag(m20_ - 2 * s20_) {OVER} as lo1", "side = 1 as bu_", "side = -1 as be2_", "(adx - 15) / 10 as ta_")
+    .add(
+        f"""0.2 * ((1 - 2 / (exp(2 * ta_) + 1)) * 0.25 + 0.25) + 0.2 * (greatest(least(fast_, 1.5), -1.5) / 3 + 0.5) + 0.2 * (greatest(least(mh, 2.0), -2.0) / 4 + 0.5) + 0.15 * {_pick('(be2_ and cl1 >= hi1) or (bu_ and cl1 <= lo1)')} + 0.15 * least(vol_spike / 3, 1.0)
+  + 0.1 * {_pick('(bu_ and (bull_engulf = 1 or hammer = 1)) or (be2_ and (bear_engulf = 1 or shooting_star = 1))')} + 0.1 * {_pick('(bu_ and fast_ > 0 and mh > 0) or (be2_ and fast_ < 0 and mh < 0)')} + case when (be2_ and mfi > 70) or (bu_ and mfi < 30) then 0.05 else 0.0 end as rule_score"""
+    )
+    .add("case when bu_ then 'Bullish' else 'Bearish' end || 'Reversal-' || case when rule_score >= 0.70 then 'MLStrong' when rule_score >= 0.55 then 'MLModerate' else 'MLWeak' end as ml_label")
+)
+
+
+@query("F25_rule_score", RULED.sql("select symbol, date, side, round(greatest(least(rule_score, 1.0), 0.0), 5) as rule_score, ml_label from {last} where side <> 0"))
 def f25(spark, path):
-    return extreme_rows(spark, path).filter("side <> 0").select("symbol", "date", "side", "rule_score", "ml_label")
+    return extreme_rows(spark, path).filter("side <> 0").select("symbol", "date", "side", F.round("rule_score", 5).alias("rule_score"), "ml_label")
 
 
 DIVERGENCE = EXTREME.add("coalesce(wr, 50.0) as r_")
