@@ -237,6 +237,18 @@ def test_quality(spark, docs, odd, none):
     assert [kth_largest(values, "v", k, bins=4) for k in (1, 2, 3, 4, 6)] == [100000, 9, 9, 5, -3]
 
 
+def test_quality_holds_rows_out(spark):
+    """Clean rows without a label are kept as those with one are, though few are labelled and words are many."""
+    from tidemark.llm.quality import quality_selection
+
+    rng = random.Random(5)
+    draw = lambda a: " ".join(f"{a}{int(rng.paretovariate(0.6)) % 3000}" for _ in range(120))
+    df = spark.createDataFrame([(i, draw("w")) for i in range(200)] + [(i, draw("junk")) for i in range(1000, 1060)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(i, 0, 0) for i in range(1000, 1020)], "doc_id bigint, quality int, toxic int")
+    got = by_id(quality_selection(df, labels))
+    assert sum(got[i]["kept"] for i in range(30, 200)) >= 162 and sum(got[i]["kept"] for i in range(1020, 1060)) <= 4
+
+
 def test_warc(spark):
     from tidemark.llm.warc import archive_pages, decode_record, encode_record, members, read_archives, sha1_base32
 
