@@ -18,14 +18,15 @@ KINDS = ("email", "iban", "secret", "card", "ip", "phone", "ssn", "date")
 FIND = re.compile(
     r"""(?P<email>(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})
     |(?P<iban>\b[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?\b)
-    |(?:(?:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?(?P<secret>[0-9a-f]{12,128})\b)
+    |(?:(?i:password|passwd|token|secret|api_?key)\s*[=:]\s*["']?(?P<secret>[0-9A-Fa-f]{12,128})\b)
     |(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))
     |(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))
-    |(?P<phone>(?:(?<![\d+])\+?1[ .-]?)?(?:\([2-9]\d\d\)[ ]?|(?<![\d-])[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\d))
+    |(?P<phone>(?:(?<![\d+])\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|(?<![\d-])\d{3}[ .-])[2-9]\d\d[ .-]\d{4}(?!\d))
     |(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-]))""",
     re.X,
 )
+LEAST = {"card": 13, "iban": 12}  # letters and digits of kinds that groups beside them are taken for parts of
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
@@ -78,6 +79,17 @@ def _letters(text: str, key: bytes, tweak: str, inverse: bool, alphabet: str = "
     return "".join(reversed(out))
 
 
+def _hex(text: str, key: bytes, inverse: bool) -> str:
+    """Hex digits stay lower, upper or mixed case: the permutation is walked until the image is of the value's own case."""
+    if not re.search("[A-F]", text):
+        return _letters(text, key, "secret", inverse, "0123456789abcdef")
+    mixed = bool(re.search("[a-f]", text))
+    while True:
+        text = _letters(text, key, "secret", inverse, "0123456789abcdefABCDEF" if mixed else "0123456789ABCDEF")
+        if re.search("[A-F]", text) and (not mixed or re.search("[a-f]", text)):
+            return text
+
+
 def _refill(form: str, digits: str) -> str:
     """form with its digits replaced in turn."""
     it = iter(digits)
@@ -100,7 +112,7 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str |
         local, at, domain = text.partition("@")
         return _letters(local, key, "email|" + domain, inverse) + at + domain
     if kind == "secret":
-        return _letters(text, key, "secret", inverse, "0123456789abcdef")
+        return _hex(text, key, inverse)
     if kind == "iban":
         flat = text.replace(" ", "")
         if _iban_check(flat[:2], flat[4:]) != flat[2:4]:
@@ -122,10 +134,11 @@ def pseudonym(kind: str, text: str, key: bytes, inverse: bool = False) -> str |
         return _refill(text, digits[0] + body + luhn(digits[0] + body))
     if kind == "phone":
         own = digits[-10:]
-        area, exchange, rest = int(own[:3]) - 200, int(own[3:6]) - 200, int(own[6:])
-        value = permute((area * 800 + exchange) * 10_000 + rest, 800 * 800 * 10_000, key, "phone", inverse)
+        first, areas, tweak = (200, 800, "phone") if own[0] > "1" else (0, 200, "phone01")  # area codes that exist, and others
+        area, exchange, rest = int(own[:3]) - first, int(own[3:6]) - 200, int(own[6:])
+        value = permute((area * 800 + exchange) * 10_000 + rest, areas * 800 * 10_000, key, tweak, inverse)
         area, exchange, rest = value // 8_000_000, value // 10_000 % 800, value % 10_000
-        return _refill(text, f"{digits[:-10]}{area + 200}{exchange + 200}{rest:04d}")
+        return _refill(text, f"{digits[:-10]}{area + first:03d}{exchange + 200}{rest:04d}")
     if kind == "ssn":
         area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
         if area in (0, 666) or area > 899 or not group or not serial:
@@ -153,17 +166,36 @@ def _date(text: str, digits: str, key: bytes, inverse: bool) -> str | None:
 def replace(text: str, key: bytes, inverse: bool = False) -> tuple[str, Counter]:
     """text with every valid value replaced, and how many of each kind."""
     found: Counter = Counter()
-
-    def one(m: re.Match) -> str:
+    if not re.search("[0-9@]", text):
+        return text, found
+    out, done, at = [], 0, 0
+    while m := FIND.search(text, at):
         kind = m.lastgroup
+        a, b = m.span(kind)
         new = pseudonym(kind, m[kind], key, inverse)
+        if new is None and kind in LEAST:
+            a, b, new = _within(kind, text, a, b, key, inverse)
         if new is None:
-            return m[0]
+            border = re.search("[ -]", m[kind]) if kind in LEAST else None  # a value may begin behind its first group
+            at = m.start(kind) + border.end() if border else m.end()
+            continue
         found[kind] += 1
-        a, b = m.start(kind) - m.start(), m.end(kind) - m.start()
-        return m[0][:a] + new + m[0][b:]
+        out += [text[done:a], new]
+        done = at = b
+    return "".join([*out, text[done:]]), found
+
 
-    return (FIND.sub(one, text), found) if re.search("[0-9@]", text) else (text, found)
+def _within(kind: str, text: str, a: int, b: int, key: bytes, inverse: bool) -> tuple[int, int, str | None]:
+    """The first and longest run of whole groups of text[a:b] that is valid, though the whole isn't, and its pseudonym."""
+    borders = [(a + m.start(), a + m.end()) for m in re.finditer("[ -]", text[a:b])]
+    begins = [a] + ([end for _, end in borders] if kind == "card" else [])
+    for begin in begins:
+        for end in [b, *(start for start, _ in reversed(borders))]:
+            if sum(c.isalnum() for c in text[begin:end]) < LEAST[kind]:
+                break
+            if new := pseudonym(kind, text[begin:end], key, inverse):
+                return begin, end, new
+    return a, b, None
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", inverse: bool = False) -> DataFrame:
@@ -171,7 +203,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     A value is permuted within its format by a key that is kept apart from the data: the same value has the same pseudonym
     in all documents, however its digits are grouped, and the key takes it back (inverse). Card numbers must pass the Luhn
-    test, IBANs theirs, IP octets, SSN parts and dates must be possible; others stay as they are. A null text stays null, an
+    test, IBANs theirs, IP octets, SSN parts and dates must be possible; others stay as they are. Where a run of digit groups
+    fails, its first and longest part of whole groups that passes is the value; a pseudonym that happens to pass together
+    with the groups beside it is not taken back. Area codes 000 to 199 stay among themselves. A null text stays null, an
     empty one empty; ids may be null or repeat; other columns are not looked at. There is no shuffle.
     """
     schema = pa.schema([pa.field("id", pa.int64()), pa.field("text", pa.string()), *(pa.field(f"n_{k}", pa.int32()) for k in KINDS)])
