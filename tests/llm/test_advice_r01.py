@@ -25,3 +25,16 @@ def test_pii_of_any_area_code_case_and_neighbour():
         assert replace(replace(text, key)[0], key, inverse=True)[0] == text
     new, found = replace("4111 1111 1111 1111 4539 1488 0343 6467", key)
     assert found == {"card": 2} and "1111 1111" not in new and "1488" not in new
+
+
+def test_packing_of_decomposed_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.packing import ChunkIds
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    for text in ("a cafe\u0301 here", "cafe\u0301", "n\u0303, o\u0308.", "nai\u0308ve re\u0301sume\u0301", "word, word; (word)", "a=\u0338 b"):
+        got = ChunkIds(path).encode([text])[0]
+        assert got == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids), text

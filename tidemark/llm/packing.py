@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +54,7 @@ class ChunkIds:
         split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split) - known.keys()
-        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c))}  # a word and marks are two borders apart
+        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2])}  # a word and marks are two borders apart
         need = {c for c in new if c not in marked} | {p for parts in marked.values() for p in parts if p not in known}
         fresh = self._learn(list(need))
         both = lambda p: known[p] if p in known else fresh[p]
@@ -68,6 +69,11 @@ class ChunkIds:
         return [b"".join([known[c] if c in known else fresh[c] for c in s]) for s in split]
 
 
+def _combining(marks: str) -> bool:
+    """Whether some may join what stands before them when the tokenizer composes them (NFC)."""
+    return not marks.isascii() and any(unicodedata.category(c)[0] == "M" for c in marks)
+
+
 def _folded(text: str) -> str:
     """Latin text in lower case, as the tokenizer has it: the same ids from fewer different chunks."""
     return text if "<|" in text or BEYOND_LATIN.search(text) else text.lower()
