@@ -1,5 +1,6 @@
 """Cases that the review of the first round found left out."""
 
+import random
 import re
 
 
@@ -38,3 +39,24 @@ def test_packing_of_decomposed_text():
     for text in ("a cafe\u0301 here", "cafe\u0301", "n\u0303, o\u0308.", "nai\u0308ve re\u0301sume\u0301", "word, word; (word)", "a=\u0338 b"):
         got = ChunkIds(path).encode([text])[0]
         assert got == b"".join(i.to_bytes(4, "little") for i in whole.encode(text, add_special_tokens=False).ids), text
+
+
+def test_pipeline_loses_no_clean_text_and_no_group(spark, tmp_path):
+    """What quality labels tell apart is told apart for all rows, and one of each group of copies stays."""
+    import corpus_pipeline as cp
+
+    from tidemark.llm.common import Workspace
+
+    rng = random.Random(12)
+    words = lambda n, tail="": " ".join(rng.choice(["tanor", "thele", "ing", "of", "the", "oblan", "risti", "weran"]) + rng.choice(["", "a", "be", "so"]) + tail for _ in range(n))
+    texts = [words(80) for _ in range(150)] + [words(80, "***") for _ in range(30)]
+    texts += [texts[3], texts[4].replace(" ", "  "), texts[5] + " tail"]
+    spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 150), 0) for i in range(0, 180, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in cp.STAGES[:3]:
+        docs = Workspace(spark, "ps").save(stage(spark, docs, str(tmp_path)), name)
+        seen.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+    clean = set(range(150))
+    assert seen[0] == clean | {180, 181, 182}
+    assert seen[1] == clean | {182} and seen[2] == clean
