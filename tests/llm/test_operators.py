@@ -151,18 +151,6 @@ def test_repeats_of_a_heavy_name(spark, monkeypatch):
     assert {r["id"]: (r["n_removed"], r["n_spans"]) for r in sd.remove_repeats(df).collect()} == plain
 
 
-def test_deep_shallow_sorts():
-    from tidemark.llm.suffix_dedup import deep_shallow
-
-    rng = np.random.default_rng(5)
-    data = np.concatenate([rng.integers(97, 99, 3000, np.uint8), np.tile(rng.integers(97, 123, 150, np.uint8), 12), np.zeros(8, np.uint8)])
-    at = np.arange(len(data) - 108)
-    order, new = deep_shallow(data, at, 100)
-    strings = [bytes(data[p : p + 100]) for p in at[order]]
-    assert strings == sorted(strings) and sorted(order.tolist()) == at.tolist()
-    assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(len(strings))]
-
-
 def test_packing(docs, odd, none, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
