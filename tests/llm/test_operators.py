@@ -271,7 +271,7 @@ def test_topk(spark):
     ship_package(spark)
     rng = np.random.default_rng(2)
     vecs = {i: rng.normal(size=8).round(1).tolist() for i in range(230)}
-    rows = [(i, v) for i, v in vecs.items()] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (400, [0.5]), (0, vecs[0])]
+    rows = [(i, v) for i, v in vecs.items()] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (400, [0.5])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     vecs[400] = [0.5] + [0.0] * 7
     q = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in vecs.items()}

@@ -62,11 +62,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+with v as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.row, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v c on q.row <> c.row where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
 
