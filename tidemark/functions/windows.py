@@ -28,28 +28,47 @@ def full(c: Column, x: str | Column, n: int) -> Column:
     return F.when(F.count(x).over(rows(n)) >= n, c)
 
 
-def ewm(df: DataFrame, x: Column, out: str, alpha: float, horizon: int | None = None) -> DataFrame:
-    """Adds y: y = x at its first value, then alpha * x + (1 - alpha) * y before. Nulls may only lead.
+BLOCK = 256  # bars that share one scaled sum; q**-256 is finite for q above 0.07
 
-    One running sum of x * q**-t, scaled back by q**t. That overflows after some 700 / -ln(q) bars (about 2,800 for a span
-    of 8); for longer histories give a horizon: the recurrence then starts anew that many bars back, which changes y by
-    q**horizon of its size.
+
+def ewms(df: DataFrame, *means: tuple[Column, str, float]) -> DataFrame:
+    """Adds a column y for each (x, y, alpha): y = x at its first value, then alpha * x + (1 - alpha) * y before. Nulls may
+    only lead.
+
+    Bars are taken in blocks of BLOCK by number. Within a block y is one scaled running sum; what the blocks before have come
+    to is carried in by folding their ends, of which there is one every BLOCK bars. All of it is windows over symbol and
+    date, exact to rounding for a history of any length. alpha must be under 0.93.
     """
-    q = 1.0 - alpha
-    if horizon is not None:
-        held = F.collect_list(x).over(rows(horizon))
-        step = F.aggregate(F.slice(held, 2, horizon), F.element_at(held, 1), lambda y, v: y * q + v * alpha)
-        return df.withColumn(out, F.when(x.isNotNull(), step))
-    t = F.col("__t")
-    df = df.withColumn("__x", x).withColumn("__t", F.count("__x").over(so_far()) - 1)
-    term = F.when(t == 0, F.col("__x")).otherwise(F.col("__x") * alpha) * F.pow(F.lit(q), -t)
-    y = F.pow(F.lit(q), t) * F.sum(F.when(F.col("__x").isNotNull(), term)).over(so_far())
-    return df.withColumn(out, F.when(F.col("__x").isNotNull(), y)).drop("__x", "__t")
+    if max(alpha for _, _, alpha in means) >= 0.93:
+        raise ValueError("the scaled sum of a block would overflow")
+    x, seen, w, y, ends = ([f"__{k}{i}" for i in range(len(means))] for k in "xswye")
+    q = [F.lit(1.0 - alpha) for _, _, alpha in means]
+    df = df.withColumns({"__i": F.row_number().over(by_symbol()) - 1} | {x[i]: m[0] for i, m in enumerate(means)})
+    here, inside = F.pmod("__i", F.lit(BLOCK)).cast("double"), Window.partitionBy("symbol", "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"__b": F.floor(F.col("__i") / BLOCK)} | {s: F.count(c).over(so_far()) for s, c in zip(seen, x, strict=True)})
+    scaled = lambda i: F.when(F.col(seen[i]) == 1, F.col(x[i])).otherwise(F.col(x[i]) * means[i][2]) * F.pow(q[i], -here)
+    df = df.withColumns({c: scaled(i) for i, c in enumerate(w)})
+    df = df.withColumns({y[i]: F.sum(w[i]).over(inside) for i in range(len(means))})
+    df = df.withColumns({y[i]: F.coalesce(F.pow(q[i], here) * F.col(y[i]), F.lit(0.0)) for i in range(len(means))})
+    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({ends[i]: F.collect_list(F.when(here == BLOCK - 1, F.col(y[i]))).over(before) for i in range(len(means))})
+    carried = lambda i: F.aggregate(ends[i], F.lit(0.0), lambda s, end: s * F.pow(q[i], F.lit(float(BLOCK))) + end)
+    df = df.withColumns({m[1]: F.when(F.col(x[i]).isNotNull(), F.col(y[i]) + F.pow(q[i], here + 1) * carried(i)) for i, m in enumerate(means)})
+    return df.drop("__i", "__b", *x, *seen, *w, *y, *ends)
+
+
+def ewm(df: DataFrame, x: Column, out: str, alpha: float) -> DataFrame:
+    return ewms(df, (x, out, alpha))
+
+
+def ema(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
+    return ewm(df, F.col(x), out, 2.0 / (n + 1))
 
 
-def ema(df: DataFrame, x: str, n: int, out: str, horizon: int | None = None) -> DataFrame:
-    return ewm(df, F.col(x), out, 2.0 / (n + 1), horizon)
+def emas(df: DataFrame, x: str, *spans: int) -> DataFrame:
+    """ema{n} for each of the spans."""
+    return ewms(df, *((F.col(x), f"ema{n}", 2.0 / (n + 1)) for n in spans))
 
 
-def rma(df: DataFrame, x: str, n: int, out: str, horizon: int | None = None) -> DataFrame:
-    return ewm(df, F.col(x), out, 1.0 / n, horizon)
+def rma(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
+    return ewm(df, F.col(x), out, 1.0 / n)

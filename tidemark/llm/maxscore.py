@@ -56,8 +56,7 @@ def maxscore(q: np.ndarray, ids: np.ndarray, counts: np.ndarray, postings: np.nd
     floors = np.minimum(a, b)
     got_i, got_s = np.empty(0, np.int64), np.empty(0, np.int64)
     for at in range(0, len(ids), chunk):
-        doc = np.arange(at, min(at + chunk, len(ids)))
-        doc = doc[counts[doc] > 0]
+        doc = at + np.flatnonzero(counts[at : at + chunk] > 0)
         beat = got_s[-1] if len(got_s) == k else least
         need = -1 if beat is None else beat - floor
         n_free = int(np.searchsorted(summed, need, side="left")) if need > 0 else 0  # bounds below need: non-essential
@@ -90,8 +89,12 @@ def _search(k: int):
         postings, low, high = np.ascontiguousarray(x.T), x.min(0), x.max(0)
         found = []
         for i, key, least, v in zip(*(queries.column(c).to_pylist() for c in ("vec_id", "vec", "least")), q, strict=True):
-            own = (ids == i) & (keys == key) & (x == v).all(1)
-            found.append((i, key, *maxscore(v, ids, counts - own, postings, low, high, k, least)))
+            left, own = counts, np.flatnonzero((ids == i) & (keys == key))
+            own = own[(x[own] == v).all(1)]
+            if len(own):
+                left = counts.copy()
+                left[own] -= 1
+            found.append((i, key, *maxscore(v, ids, left, postings, low, high, k, least)))
         size = [len(f[2]) for f in found]
         return pa.table({"query": np.repeat([f[0] for f in found], size), "query_vec": np.repeat([f[1] for f in found], size), "vec_id": np.concatenate([f[2] for f in found]), "score": np.concatenate([f[3] for f in found])}, schema)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_symbol, ema, ewm, full, lag, rma, rows, so_far
+from tidemark.functions.windows import by_symbol, ema, emas, ewm, ewms, full, lag, rma, rows, so_far
 
 
 def sma(df: DataFrame, n: int, out: str, x: str = "close", partial: bool = False) -> DataFrame:
@@ -39,7 +39,7 @@ def rsi_wilder(df: DataFrame, n: int = 14, out: str = "rsi") -> DataFrame:
     change = F.col("close") - lag("close")
     df = df.withColumn("__up", F.greatest(change, F.lit(0.0))).withColumn("__down", F.greatest(-change, F.lit(0.0)))
     df = df.withColumn("__up", F.when(change.isNotNull(), F.col("__up"))).withColumn("__down", F.when(change.isNotNull(), F.col("__down")))
-    df = rma(rma(df, "__up", n, "__g"), "__down", n, "__l")
+    df = ewms(df, (F.col("__up"), "__g", 1.0 / n), (F.col("__down"), "__l", 1.0 / n))
     return df.withColumn(out, 100 - 100 / (1 + F.col("__g") / (F.col("__l") + 1e-10))).drop("__up", "__down", "__g", "__l")
 
 
@@ -52,7 +52,7 @@ def rsi_simple(df: DataFrame, n: int = 14, out: str = "rsi_simple") -> DataFrame
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ema(ema(df, "close", fast, "__fast"), "close", slow, "__slow").withColumn("macd", F.col("__fast") - F.col("__slow"))
+    df = ewms(df, (F.col("close"), "__fast", 2.0 / (fast + 1)), (F.col("close"), "__slow", 2.0 / (slow + 1))).withColumn("macd", F.col("__fast") - F.col("__slow"))
     df = ema(df, "macd", signal, "macd_signal")
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
 
@@ -63,7 +63,7 @@ def directional(df: DataFrame, n: int = 14) -> DataFrame:
     plus = F.when((up > down) & (up > 0), up).otherwise(0.0)
     minus = F.when((down > up) & (down > 0), down).otherwise(0.0)
     df = true_range(df.withColumn("__p", plus).withColumn("__m", minus), "__tr")
-    df = rma(rma(rma(df, "__tr", n, "__atr"), "__p", n, "__pp"), "__m", n, "__mm")
+    df = ewms(df, *((F.col(x), out, 1.0 / n) for x, out in (("__tr", "__atr"), ("__p", "__pp"), ("__m", "__mm"))))
     df = df.withColumn("plus_di", F.try_divide(100 * F.col("__pp"), F.col("__atr"))).withColumn("minus_di", F.try_divide(100 * F.col("__mm"), F.col("__atr")))
     dx = F.coalesce(F.try_divide(100 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")), F.lit(0.0))
     return rma(df.withColumn("__dx", dx), "__dx", n, "adx").drop("__p", "__m", "__tr", "__atr", "__pp", "__mm", "__dx")
@@ -219,8 +219,7 @@ def analytic_ranks(df: DataFrame) -> DataFrame:
 
 def standard_panel(df: DataFrame) -> DataFrame:
     """The indicators that labels, signals and detectors read."""
-    for n in (20, 50, 200):
-        df = ema(df, "close", n, f"ema{n}")
+    df = emas(df, "close", 20, 50, 200)
     df = sma(sma(df, 50, "sma50"), 200, "sma200")
     df = macd(directional(atr(rsi_wilder(df))))
     return year_range(bb_shape(bollinger(di_width(obv(df)))))

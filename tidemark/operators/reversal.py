@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_symbol, ema, lag, rows, so_far
+from tidemark.functions.windows import by_symbol, ema, emas, lag, rows, so_far
 from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 
@@ -146,7 +146,7 @@ def market_factor(df: DataFrame, index: DataFrame, side: str) -> DataFrame:
 def ml_panel(df: DataFrame) -> DataFrame:
     """The columns that the RSI-extreme detector reads; look-backs of 30 bars for the slow mean."""
     df = ind.volume_spike(ind.bb_shape(ind.bollinger(ind.atr(ind.directional(ind.macd(ind.rsi_wilder(ind.mfi(df))))))))
-    return tr.indexed(ind.candles(ind.ema_slopes(ema(ema(df, "close", 20, "ema20"), "close", 50, "ema50"))))
+    return tr.indexed(ind.candles(ind.ema_slopes(emas(df, "close", 20, 50))))
 
 
 def rsi_extreme_candidates(df: DataFrame, look_back: int = 30, warmup: int = 52) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import by_symbol, lag, rows, so_far
 from tidemark.operators import indicators as ind
 
+
 def past() -> WindowSpec:
     """All bars before the current one."""
     return by_symbol().rowsBetween(Window.unboundedPreceding, -1)
@@ -19,18 +20,45 @@ def indexed(df: DataFrame) -> DataFrame:
 
 
 def _island_run(df: DataFrame, sign: Column, out: str) -> DataFrame:
-    """Signed length of the run of equal signs that ends here; rows whose sign is null carry it on."""
+    """Signed length of the run of equal signs that ends here; rows whose sign is null carry it on. __new and __isl, which
+    mark and number the runs, stay."""
     df = df.withColumn("__s", sign)
     before = F.last("__s", ignorenulls=True).over(past())
     change = F.when(F.col("__s").isNotNull() & (before.isNull() | (F.col("__s") != before)), 1).otherwise(0)
-    df = df.withColumn("__c", change).withColumn("__isl", F.sum("__c").over(so_far()))
-    inside = Window.partitionBy("symbol", "__isl").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.last("__s", ignorenulls=True).over(so_far()) * F.count("__s").over(inside)
-    return df.withColumn(out, F.coalesce(run, F.lit(0)).cast("int")).drop("__s", "__c", "__isl")
+    df = df.withColumn("__new", change).withColumn("__isl", F.sum("__new").over(so_far()))
+    run = F.last("__s", ignorenulls=True).over(so_far()) * F.count("__s").over(in_run())
+    return df.withColumn(out, F.coalesce(run, F.lit(0)).cast("int")).drop("__s")
+
+
+def in_run() -> WindowSpec:
+    """The bars of the current run so far."""
+    return Window.partitionBy("symbol", "__isl").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _with_prior(df: DataFrame, run: str) -> DataFrame:
+    """prior: `run` at the bar that lies as many bars back as the run is long; prior_high and prior_low: the extreme closes
+    of that run's last bars, as many as it is long. Needs __new and __isl, which go.
+
+    Where no bar of the run was passed over, that bar is the last before the run, so its values are taken along from the
+    run's first bar; else it lies within the run and prior is the run itself.
+    """
+    df = df.withColumns({"__n": F.count("*").over(in_run()), "__closes": F.collect_list(F.struct("close")).over(in_run())})
+    long, passed = F.abs(run), F.col("__n") - F.abs(run)
+    own = F.slice("__closes", (passed + 1).cast("int"), long)["close"]
+    df = df.withColumn("__e", F.struct(F.col(run).alias("run"), F.array_max(own).alias("hi"), F.array_min(own).alias("lo")))
+    df = df.withColumn("__before", lag("__e"))
+    df = df.withColumn("__p", F.last(F.when(F.col("__new") == 1, F.col("__before")), ignorenulls=True).over(so_far()))
+    whole = passed == 0
+    df = df.withColumns({"prior": F.when(whole, F.col("__p.run")).otherwise(F.col(run)), "prior_high": F.when(whole, F.col("__p.hi")), "prior_low": F.when(whole, F.col("__p.lo"))})
+    return df.drop("__n", "__closes", "__e", "__before", "__p", "__new", "__isl")
 
 
 def last_run_flat_up(df: DataFrame, out: str = "run_flat_up") -> DataFrame:
     """Flat moves count as up; 0 while the series is constant."""
+    return _last_run_flat_up(df, out).drop("__new", "__isl")
+
+
+def _last_run_flat_up(df: DataFrame, out: str) -> DataFrame:
     change = F.col("close") - lag("close")
     df = _island_run(df, F.when(change.isNotNull(), F.when(change < 0, -1).otherwise(1)), "__r")
     constant = F.max("close").over(so_far()) == F.min("close").over(so_far())
@@ -39,42 +67,61 @@ def last_run_flat_up(df: DataFrame, out: str = "run_flat_up") -> DataFrame:
 
 def last_run(df: DataFrame, out: str = "run") -> DataFrame:
     """Flat moves are passed over."""
-    return _island_run(df, F.nullif(F.signum(F.col("close") - lag("close")).cast("int"), F.lit(0)), out)
+    return _last_run(df, out).drop("__new", "__isl")
 
 
-def at_index(df: DataFrame, index: Column, values: dict[str, str]) -> DataFrame:
-    """Joins values (new name: column) of the same symbol's bar number `index`: an equi-join on (symbol, number)."""
-    other = df.select(F.col("symbol").alias("__sym"), F.col("idx").alias("__at"), *(F.col(c).alias(n) for n, c in values.items()))
-    return df.withColumn("__want", index).join(other, (F.col("symbol") == F.col("__sym")) & (F.col("__want") == F.col("__at")), "left").drop("__sym", "__at", "__want")
+def _last_run(df: DataFrame, out: str) -> DataFrame:
+    return _island_run(df, F.nullif(F.signum(F.col("close") - lag("close")).cast("int"), F.lit(0)), out)
 
 
 def current_and_prior(df: DataFrame, min_prior: int = 4) -> DataFrame:
-    """curr_days, curr_type, prior_days, prior_type and run_error; the prior run is looked up curr_days rows back."""
-    df = last_run(indexed(df))
-    df = at_index(df, F.col("idx") - F.abs("run"), {"__prior": "run"})
-    bad = (F.col("run") == 0) | (F.coalesce("__prior", F.lit(0)) == 0) | (F.abs("__prior") < min_prior) | (F.signum("__prior") == F.signum("run"))
+    """curr_days, curr_type, prior_days, prior_type and run_error; prior_high and prior_low: the extreme closes of the prior
+    run's bars. The prior run is the one curr_days rows back."""
+    df = _with_prior(_last_run(indexed(df), "run"), "run")
+    bad = (F.col("run") == 0) | (F.coalesce("prior", F.lit(0)) == 0) | (F.abs("prior") < min_prior) | (F.signum("prior") == F.signum("run"))
     kind = lambda c: F.when(F.col(c) > 0, "Up").when(F.col(c) < 0, "Down")
     df = df.withColumn("run_error", F.when(F.coalesce(bad, F.lit(True)), "ERR_NO_TREND"))
     ok = F.col("run_error").isNull()
-    df = df.withColumn("curr_days", F.when(ok, F.abs("run"))).withColumn("curr_type", F.when(ok, kind("run")))
-    return df.withColumn("prior_days", F.when(ok, F.abs("__prior"))).withColumn("prior_type", F.when(ok, kind("__prior"))).drop("__prior")
+    found = {"curr_days": F.abs("run"), "curr_type": kind("run"), "prior_days": F.abs("prior"), "prior_type": kind("prior"), "prior_high": F.col("prior_high"), "prior_low": F.col("prior_low")}
+    return df.withColumns({n: F.when(ok, c) for n, c in found.items()}).drop("prior")
 
 
 def tolerant_run(df: DataFrame, good: Column, soft: Column, hard: Column, name: str, cap: int) -> DataFrame:
     """{name}_n: good bars of the run that ends here; {name}_stop: the number of the bar it stops at.
 
     Walking back, one soft bar is passed over; a hard one, the second soft one, the first bar of the symbol or `cap` steps
-    end the run. Needs idx.
+    end the run. Needs idx; __{name}_soft and __{name}_hard stay for at_stop.
     """
     i = F.col("idx")
     real = i > 0
-    df = df.withColumn("__soft", F.when(real & soft, i)).withColumn("__hard", F.when(real & hard, i))
-    df = df.withColumn("__soft_before", F.coalesce(F.last("__soft", ignorenulls=True).over(past()), F.lit(0)))
-    df = df.withColumn("__second", F.last(F.when(F.col("__soft").isNotNull(), F.col("__soft_before")), ignorenulls=True).over(so_far()))
-    df = df.withColumn("__soft1", F.last("__soft", ignorenulls=True).over(so_far())).withColumn("__hard1", F.last("__hard", ignorenulls=True).over(so_far()))
+    s, h = f"__{name}_soft", f"__{name}_hard"
+    df = df.withColumns({s: F.when(real & soft, i), h: F.when(real & hard, i)})
+    df = df.withColumns({"__soft_before": F.coalesce(F.last(s, ignorenulls=True).over(past()), F.lit(0)), "__soft1": F.last(s, ignorenulls=True).over(so_far()), "__hard1": F.last(h, ignorenulls=True).over(so_far())})
+    df = df.withColumn("__second", F.last(F.when(F.col(s).isNotNull(), F.col("__soft_before")), ignorenulls=True).over(so_far()))
     df = df.withColumn(f"{name}_stop", F.greatest(F.coalesce("__second", F.lit(0)), F.coalesce("__hard1", F.lit(0)), i - cap, F.lit(0)))
     passed = F.when(F.col("__soft1") > F.col(f"{name}_stop"), 1).otherwise(0)
-    return df.withColumn(f"{name}_n", i - F.col(f"{name}_stop") - passed).drop("__soft", "__hard", "__soft_before", "__second", "__soft1", "__hard1")
+    return df.withColumn(f"{name}_n", i - F.col(f"{name}_stop") - passed).drop("__soft_before", "__second", "__soft1", "__hard1")
+
+
+def at_stop(df: DataFrame, name: str, cap: int, values: dict[str, str]) -> DataFrame:
+    """Values (new name: column) of the bar that the tolerant run `name` stops at.
+
+    That bar is the soft bar before the last one, the last hard bar, the bar `cap` back or the first: the values of each
+    are carried along the symbol's bars, so all of it is windows of one order, and no bar is looked up by number.
+    """
+    df = df.withColumn("__v", F.struct("idx", *(F.col(c).alias(n) for n, c in values.items())))
+    carried = lambda mark, window: F.last(F.when(F.col(mark).isNotNull(), F.col("__v")), ignorenulls=True).over(window)
+    s = f"__{name}_soft"
+    df = df.withColumns({"__v0": F.first("__v").over(so_far()), "__vs": carried(s, past()), "__vh": carried(f"__{name}_hard", so_far()), "__vc": lag("__v", cap)})
+    df = df.withColumn("__v2", F.last(F.when(F.col(s).isNotNull(), F.coalesce("__vs", "__v0")), ignorenulls=True).over(so_far()))
+    stop = F.col(f"{name}_stop")
+    found = F.when(stop == F.col("__v2.idx"), F.col("__v2")).when(stop == F.col("__vh.idx"), F.col("__vh")).when(stop == F.col("__vc.idx"), F.col("__vc")).otherwise(F.col("__v0"))
+    df = df.withColumn("__v", found)
+    return df.withColumns({n: F.col(f"__v.{n}") for n in values}).drop("__v", "__v0", "__vs", "__vh", "__vc", "__v2")
+
+
+def _flags(*names: str) -> list[str]:
+    return [f"__{n}_{k}" for n in names for k in ("soft", "hard")]
 
 
 def reversal_runs(df: DataFrame) -> DataFrame:
@@ -85,8 +132,8 @@ def reversal_runs(df: DataFrame) -> DataFrame:
     up, down = F.coalesce(F.col("__chg") > 0, F.lit(False)), F.coalesce(F.col("__chg") < 0, F.lit(False))
     none = F.lit(False)
     df = tolerant_run(tolerant_run(df, up, ~up, none, "up", 200), down, ~down, none, "down", 200).drop("__chg")
-    df = at_index(df, F.col("up_stop"), {"prior_down_n": "down_n", "prior_down_stop": "down_stop"})
-    return at_index(df, F.col("down_stop"), {"prior_up_n": "up_n", "prior_up_stop": "up_stop"})
+    df = at_stop(df, "up", 200, {"prior_down_n": "down_n", "prior_down_stop": "down_stop"})
+    return at_stop(df, "down", 200, {"prior_up_n": "up_n", "prior_up_stop": "up_stop"}).drop(*_flags("up", "down"))
 
 
 def price_pattern(df: DataFrame, n1: int = 3, d2_max: int = 20, min_up: int = 2, min_down: int = 5, look_back: int = 60) -> DataFrame:
@@ -95,7 +142,7 @@ def price_pattern(df: DataFrame, n1: int = 3, d2_max: int = 20, min_up: int = 2,
     c = F.coalesce(F.col("__chg"), F.lit(0.0))
     up, down, flat = c > 1e-9, c < -1e-9, F.abs(c) < 1e-9
     df = tolerant_run(tolerant_run(df, up, flat, down, "__u", look_back), down, flat, up, "__d", look_back).drop("__chg")
-    df = at_index(df, F.col("__u_stop"), {"__d2": "__d_n"})
+    df = at_stop(df, "__u", look_back, {"__d2": "__d_n"}).drop(*_flags("__u", "__d"))
     d1, d2 = F.col("__u_n"), F.coalesce("__d2", F.lit(0))
     hit = (d1 >= min_up) & (d2 >= min_down) & (d2 > d1)
     score = 0.4 * F.greatest(F.lit(0), 100 - 10 * F.abs(d1 - n1)) + 0.6 * F.least(F.lit(100.0), d2 * 100.0 / d2_max)
@@ -214,18 +261,9 @@ def rsi_uptrend(df: DataFrame) -> DataFrame:
     return df.withColumn("rsi_up", F.coalesce(fell & rose, F.lit(False))).drop("__rs", "__s12", "__s12_ok", "__s5", "__s5_ok", "__step")
 
 
-def run_extremes(df: DataFrame) -> DataFrame:
-    """prior_high and prior_low: the extreme closes of the prior run's bars. Needs current_and_prior; its rows without
-    error are widened to their prior bars (their number is the run's length) and joined by number."""
-    hits = df.filter("run_error is null").select("symbol", "date", F.explode(F.sequence(F.col("idx") - F.col("curr_days") - F.col("prior_days") + 1, F.col("idx") - F.col("curr_days"))).alias("at"))
-    bars = df.select("symbol", F.col("idx").alias("at"), F.col("close").alias("c"))
-    found = hits.join(bars, ["symbol", "at"]).groupBy("symbol", "date").agg(F.max("c").alias("prior_high"), F.min("c").alias("prior_low"))
-    return df.join(found, ["symbol", "date"], "left")
-
-
 def weighted_reversal(df: DataFrame, min_history: int = 260) -> DataFrame:
     """reversal_weighted: BullishReversal[Strong] and the like, or an error code."""
-    df = run_extremes(current_and_prior(ind.sma(ind.sma(ind.macd(ind.obv(ind.rsi_wilder(ind.atr(df)))), 50, "sma50"), 200, "sma200")))
+    df = current_and_prior(ind.sma(ind.sma(ind.macd(ind.obv(ind.rsi_wilder(ind.atr(df)))), 50, "sma50"), 200, "sma200"))
     up = F.col("curr_type") == "Up"
     turn = lambda yes, no: F.coalesce(F.when(up, yes).otherwise(no), F.lit(False)).cast("int")
     c, a, o, r, m = F.col("close"), F.col("atr"), F.col("obv"), F.col("rsi"), F.col("macd")
@@ -246,17 +284,15 @@ def weighted_reversal(df: DataFrame, min_history: int = 260) -> DataFrame:
 def ten_test_reversal(df: DataFrame, min_history: int = 260) -> DataFrame:
     """reversal_tests: a code like U2-D6:BULL-REVERSAL-MOD_7/10, or an error code. Flat moves count as up in its runs."""
     df = ind.stochastic(ind.bollinger(ind.obv(ind.directional(ind.macd(ind.rsi_wilder(ind.cci(ind.atr(df))))))))
-    df = indexed(last_run_flat_up(ind.sma(ind.sma(ind.year_range(df), 50, "sma50"), 200, "sma200"), "run"))
+    df = _with_prior(_last_run_flat_up(indexed(ind.sma(ind.sma(ind.year_range(df), 50, "sma50"), 200, "sma200")), "run"), "run")
     df = df.withColumn("__cross", F.when((F.col("sma50") > F.col("sma200")) & (lag("sma50") < lag("sma200")), 1).when((F.col("sma50") < F.col("sma200")) & (lag("sma50") > lag("sma200")), -1))
     df = df.withColumn("__up3", F.max((F.col("__cross") == 1).cast("int")).over(rows(3))).withColumn("__dn3", F.max((F.col("__cross") == -1).cast("int")).over(rows(3)))
-    df = at_index(df, F.col("idx") - F.abs("run"), {"prior": "run"})
     cd, pd, bull = F.abs("run"), F.abs("prior"), F.col("run") > 0
     error = (
         F.when(F.col("idx") + 1 < min_history, "ERR_INSUFF_DATA").when(F.col("run") == 0, "ERR_NO_TREND").when(F.coalesce("prior", F.lit(0)) == 0, "ERR_NO_PRIOR_TREND")
         .when(pd < 4, "ERR_PRIOR_DAYS").when(cd >= pd, "ERR_CURR_GT_PRIOR").when(F.signum("run") == F.signum("prior"), "ERR_SAME_TRENDS")
     )
     df = df.withColumn("run_error", error).withColumn("curr_days", cd).withColumn("prior_days", pd)
-    df = run_extremes(df)
     test = lambda yes, no: F.coalesce(F.when(bull, yes).otherwise(no), F.lit(False)).cast("int")
     c, k, d = F.col("close"), F.col("stoch_k"), F.col("stoch_d")
     x = lambda n: (F.col(n), lag(n))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import emas
 from tidemark.operators import indicators as ind
 from tidemark.plans.registry import OVER, SO_FAR, Chain, filled, over, query
 from tidemark.sources.tables import bars_raw, bars_walk
@@ -48,8 +49,7 @@ register("E01_sma", WALK.add(f"{filled(f'avg(close) {over(50)}', 'close', 50)} a
 
 
 def _emas(df: DataFrame) -> DataFrame:
-    for n in (8, 12, 20, 26, 50, 200):
-        df = ind.ema(df, "close", n, f"ema{n}")
+    df = emas(df, "close", 8, 12, 20, 26, 50, 200)
     return ind.ema_sma_seed(df, 20, "ema20_seeded")
 
 
@@ -97,7 +97,7 @@ for _n in (2, 5, 10, 20, 60):
 LAGGED = BARS.add(*_exprs)
 register("E22_lagged_features", LAGGED, ind.lagged_features, *_names)
 SLOPES = ATR.ewm("close", "ema20", 2 / 21).ewm("close", "ema50", 2 / 51).add(f"coalesce((ema20 - lag(ema20, 5) {OVER}) / nullif(atr * 5, 0), 0.0) as ema_fast_slope", f"coalesce((ema50 - lag(ema50, 30) {OVER}) / nullif(atr * 30, 0), 0.0) as ema_slow_slope")
-register("E23_ema_slopes", SLOPES, lambda df: ind.ema_slopes(ind.ema(ind.ema(ind.atr(df), "close", 20, "ema20"), "close", 50, "ema50")), "ema_fast_slope", "ema_slow_slope")
+register("E23_ema_slopes", SLOPES, lambda df: ind.ema_slopes(emas(ind.atr(df), "close", 20, 50)), "ema_fast_slope", "ema_slow_slope")
 SPIKE = f"coalesce(volume / nullif(case when count(volume) {over(20)} >= 5 then avg(volume) {over(20)} end, 0), 1.0) as vol_spike"
 register("E24_volume_spike", BARS.add(SPIKE), ind.volume_spike, "vol_spike")
 CANDLES = (

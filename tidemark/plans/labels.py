@@ -79,10 +79,10 @@ def k06(spark, path):
 
 TRAIN = "cast('0x' || substr(md5({}), 1, 7) as bigint) % 5 <> 0"
 SCALED = f"""select symbol, date, round((close - m1) / s1, 6) as close, round((coalesce(case when volume % 4 <> 0 then volume + 0.0 end, 0) - m2) / s2, 6) as volume
-  from bars_walk, (select avg(close) as m1, stddev_pop(close) as s1, avg(coalesce(case when volume % 4 <> 0 then volume + 0.0 end, 0)) as m2, stddev_pop(coalesce(case when volume % 4 <> 0 then volume + 0.0 end, 0)) as s2 from bars_walk where {TRAIN.format('symbol')})"""
+  from {{last}}, (select avg(close) as m1, stddev_pop(close) as s1, avg(coalesce(case when volume % 4 <> 0 then volume + 0.0 end, 0)) as m2, stddev_pop(coalesce(case when volume % 4 <> 0 then volume + 0.0 end, 0)) as s2 from {{last}} where {TRAIN.format('symbol')})"""
 
 
-@query("K07_scale", Chain("bars_walk").sql(SCALED))
+@query("K07_scale", Chain("bars_walk").held().sql(SCALED))
 def k07(spark, path):
     df = bars_walk(spark, path).select("symbol", "date", "close", F.when(F.col("volume") % 4 != 0, F.col("volume").cast("double")).alias("volume"))
     return lb.scale(df, ["close", "volume"], lb.is_train(F.col("symbol"))).select("symbol", "date", F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"))

@@ -43,9 +43,12 @@ CTES = ", ".join(
 )
 
 
+HELD = "/* read twice */ "  # a CTE whose text begins so is materialized
+
+
 def with_panels(sql: str, *more: tuple[str, str]) -> str:
     """sql after the panels and further CTEs (name, text)."""
-    return "with " + ", ".join([CTES, *(f"{n} as ({t})" for n, t in more)]) + " " + sql
+    return "with " + ", ".join([CTES, *(f"{n} as {'materialized ' * t.startswith(HELD)}({t})" for n, t in more)]) + " " + sql
 
 
 class Chain:
@@ -59,17 +62,27 @@ class Chain:
         out.steps.append((out.last, f"select *, {', '.join(columns)} from {self.last}" + (f" where {where}" if where else "")))
         return out
 
+    def held(self) -> Chain:
+        """The last step as a table of its own, for steps that read it twice."""
+        out = Chain(f"c{len(self.steps)}", tuple(self.steps))
+        out.steps.append((out.last, f"{HELD}select * from {self.last}"))
+        return out
+
     def ewm(self, x: str, name: str, alpha: float) -> Chain:
-        """The exponential mean from the first value of x on, as a scaled running sum."""
-        q = 1 - alpha
-        a = self.add(f"{x} as x_{name}").add(f"count(x_{name}) {SO_FAR} - 1 as t_{name}")
-        return a.add(f"case when x_{name} is not null then pow({q!r}, t_{name}) * sum(case when t_{name} = 0 then x_{name} else {alpha!r} * x_{name} end * pow({q!r}, -t_{name})) {SO_FAR} end as {name}")
+        """The exponential mean from the first value of x on: the recurrence itself, folded over each symbol's values."""
+        q, a = 1 - alpha, self.add(f"{x} as x_{name}").held()
+        f, out = Chain(f"f{len(a.steps)}", tuple(a.steps)), Chain(f"c{len(a.steps) + 1}", tuple(a.steps))
+        fold = f"list_reduce(list_transform(list(x_{name} order by date), lambda v: [v]), lambda y, v: list_append(y, y[-1] * cast({q!r} as double) + v[1] * cast({alpha!r} as double)))"
+        out.steps.append((f.last, f"select symbol, unnest(list(date order by date)) as date, unnest({fold}) as y from (select symbol, date, cast(x_{name} as double) as x_{name} from {a.last}) where x_{name} is not null group by symbol"))
+        out.steps.append((out.last, f"select a.*, f.y as {name} from {a.last} a left join {f.last} f on a.symbol = f.symbol and a.date = f.date"))
+        return out
 
     def at(self, index: str, **values: str) -> Chain:
         """Values of the same symbol's bar number `index` (an expression of a)."""
-        out = Chain(f"c{len(self.steps)}", tuple(self.steps))
+        held = self.held()
+        out = Chain(f"c{len(held.steps)}", tuple(held.steps))
         picked = ", ".join(f"b.{c} as {n}" for n, c in values.items())
-        out.steps.append((out.last, f"select a.*, {picked} from {self.last} a left join {self.last} b on a.symbol = b.symbol and b.idx = {index}"))
+        out.steps.append((out.last, f"select a.*, {picked} from {held.last} a left join {held.last} b on a.symbol = b.symbol and b.idx = {index}"))
         return out
 
     def island(self, sign: str, name: str) -> Chain:

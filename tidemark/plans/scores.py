@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clean
 from tidemark.functions import scores as sc
+from tidemark.functions.windows import emas
 from tidemark.operators import indicators as ind
 from tidemark.operators import ranking as rk
 from tidemark.operators import reversal as rv
@@ -43,8 +44,7 @@ SWING = technical_sql(SWING).add("round_even(0.45 * pattern_score + 0.55 * techn
 
 def swing(df: DataFrame) -> DataFrame:
     df = ind.year_range(ind.rsi_wilder(tr.price_pattern(df)))
-    for n in (20, 50):
-        df = ind.ema(df, "close", n, f"ema{n}")
+    df = emas(df, "close", 20, 50)
     df = df.withColumn("rsi", F.round("rsi", 6)).withColumn("pct_to_high", F.round("pct_to_high", 6))
     df = df.withColumn("gem_rank", (F.substring("symbol", 2, 9).cast("bigint") * 37 % 4000).cast("double"))
     df = df.withColumn("technical", sc.technical_score(*(F.col(c) for c in ("ema20", "ema50", "rsi", "pct_to_high", "gem_rank"))))
@@ -130,7 +130,7 @@ def g09(spark, path):
 
 @query("G10_ema_structure", SWING.add(f"{filled(f'avg(close) {over(200)}', 'close', 200)} as sma200").sql("select symbol, date, case when ema20 > ema50 and ema50 > sma200 then 2 when ema20 > ema50 then 1 when ema50 > ema20 then -1 end as ema_struct, cast(greatest(least(volume % 5 - 2, 1), 0) + greatest(least(volume % 3 - 1, 1), 0) as integer) as consensus, round(close / nullif(ema20, 0), 6) as price_over_ema20 from {last}"))
 def g10(spark, path):
-    df = ind.sma(ind.ema(ind.ema(bars_walk(spark, path), "close", 20, "ema20"), "close", 50, "ema50"), 200, "sma200")
+    df = ind.sma(emas(bars_walk(spark, path), "close", 20, 50), 200, "sma200")
     v = F.col("volume")
     return df.select("symbol", "date", sc.ema_structure(F.col("ema20"), F.col("ema50"), F.col("sma200")).alias("ema_struct"), sc.classifier_consensus((v % 5 - 2).cast("int"), (v % 3 - 1).cast("int")).alias("consensus"), F.round(F.try_divide("close", "ema20"), 6).alias("price_over_ema20"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import emas
 from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 from tidemark.plans.indicators import DI, DI_TREND, RSI, SIGNIFICANT, WALK, register
@@ -107,8 +108,7 @@ TREND = SECONDARY.add(majority('"primary"', "primary_smooth"), majority("seconda
 
 def panel(df):
     df = ind.bb_shape(ind.bollinger(ind.di_width(ind.directional(ind.atr(df)))))
-    for n in (20, 50, 200):
-        df = ind.ema(df, "close", n, f"ema{n}")
+    df = emas(df, "close", 20, 50, 200)
     return tr.combined_trend(tr.madi_trend(tr.strengths(tr.ma_trend(df))))
 
 
@@ -146,12 +146,13 @@ register("F16_rsi_uptrend", moved(RSI_UP, "bars_walk"), lambda df: tr.rsi_uptren
 
 def extremes(chain: Chain) -> Chain:
     """The extreme closes of the prior run's bars."""
+    chain = chain.held()
     out = Chain(f"c{len(chain.steps)}", tuple(chain.steps))
     out.steps.append((out.last, f"select a.*, x.prior_high, x.prior_low from {chain.last} a left join (select a.symbol, a.date, max(b.close) as prior_high, min(b.close) as prior_low from {chain.last} a join {chain.last} b on a.symbol = b.symbol and b.idx between a.idx - a.curr_days - a.prior_days + 1 and a.idx - a.curr_days where a.run_error is null group by a.symbol, a.date) x on a.symbol = x.symbol and a.date = x.date"))
     return out
 
 
-register("E27_run_extremes", extremes(PRIOR), lambda df: tr.run_extremes(tr.current_and_prior(df)), "prior_high", "prior_low", source=bars_walk)
+register("E27_run_extremes", extremes(PRIOR), tr.current_and_prior, "prior_high", "prior_low", source=bars_walk)
 SMAS = (f"{filled(f'avg(close) {over(50)}', 'close', 50)} as sma50", f"{filled(f'avg(close) {over(200)}', 'close', 200)} as sma200")
 BASE = moved(RSI.ewm("tr", "atr", 1 / 14).ewm("close", "ema12", 2 / 13).ewm("close", "ema26", 2 / 27).add("ema12 - ema26 as macd").ewm("macd", "macd_signal", 2 / 10), "bars_walk").add("macd - macd_signal as macd_hist", f"cast(sum(coalesce(sign(chg) * volume, 0)) {SO_FAR} as double) as obv", *SMAS, f"row_number() {OVER} - 1 as idx")
 WEIGHTED = BASE.island("nullif(sign(chg), 0)", "run")
