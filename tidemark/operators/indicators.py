@@ -6,6 +6,9 @@ value at a bar looks back only. Values that need more bars than there are stay n
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,13 +145,23 @@ def linear_slope(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
     return df.withColumn(out, full(slope, x, n)).drop("__i")
 
 
-#: The 0.90 quantile of Student's t for 10 and 3 degrees of freedom (two-sided p < 0.2).
-T90 = {12: 1.3721836411102863, 5: 1.6377443536962102}
+@cache
+def t90(n: int) -> float:
+    """The 0.90 quantile of Student's t for n - 2 degrees of freedom (two-sided p < 0.2), by Simpson's rule and bisection."""
+    nu, low, high = n - 2, 0.0, 10.0
+    scale = math.gamma((nu + 1) / 2) / math.gamma(nu / 2) / math.sqrt(nu * math.pi) if nu < 300 else 1 / math.sqrt(2 * math.pi)
+    density = lambda x: scale * (1 + x * x / nu) ** (-(nu + 1) / 2)
+    for _ in range(60):
+        mid = (low + high) / 2
+        step = mid / 2000
+        inner = sum((4 if i % 2 else 2) * density(i * step) for i in range(1, 2000))
+        low, high = (mid, high) if (density(0) + inner + density(mid)) * step / 3 < 0.4 else (low, mid)
+    return (low + high) / 2
 
 
 def significant_slope(df: DataFrame, x: str, n: int, out: str) -> DataFrame:
-    """out: the slope over the last n bars; out_ok: whether it differs from 0 at p < 0.2 (a bound on r squared)."""
-    t2 = T90[n] ** 2
+    """out: the slope over the last n bars (3 or more); out_ok: whether it differs from 0 at p < 0.2 (a bound on r squared)."""
+    t2 = t90(n) ** 2
     df = df.withColumn("__i", F.row_number().over(by_symbol()).cast("double"))
     slope = F.regr_slope(F.col(x), F.col("__i")).over(rows(n))
     r2 = F.regr_r2(F.col(x), F.col("__i")).over(rows(n))

@@ -10,19 +10,52 @@ def unpivoted(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*").filter("x is not null")
 
 
+def with_below(df: DataFrame, key: str, value: str, counts: list[str], blocks: int = 256) -> DataFrame:
+    """Adds below_{c} for each of counts: its sum over the rows of the same key with a smaller value. Values are distinct.
+
+    A key's values are cut into blocks at approximate quantiles (a bounded sketch): sums within a block and over whole
+    blocks add up, so no task orders all values of a key.
+    """
+    at = ", ".join(str(i / blocks) for i in range(1, blocks))
+    edges = df.groupBy(F.col(key).alias("__key")).agg(F.expr(f"percentile_approx({value}, array({at}), 1000)").alias("__edges"))
+    df = df.join(edges, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__block", F.size(F.filter("__edges", lambda e: e <= F.col(value)))).drop("__edges", "__key")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = df.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__of")).agg(*(F.sum(c).alias(f"__{c}") for c in counts))
+    whole = whole.withColumns({f"__{c}": F.coalesce(F.sum(f"__{c}").over(before(Window.partitionBy("__key").orderBy("__of"))), F.lit(0)) for c in counts})  # `blocks` rows a key
+    df = df.join(whole, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__of")))
+    inside = before(Window.partitionBy(key, "__block").orderBy(value))
+    return df.withColumns({f"below_{c}": F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).drop("__block", "__of", "__key", *(f"__{c}" for c in counts))
+
+
+def quantile_edges(rows: DataFrame, bins: int) -> DataFrame:
+    """(feature, e): the exact quantiles 0, 1/bins, ..., 1 of each feature's x, interpolated, equal ones once."""
+    counts = with_below(rows.groupBy("feature", "x").agg(F.count("*").alias("n")), "feature", "x", ["n"])
+    total = rows.groupBy(F.col("feature").alias("__feature")).agg(F.count("*").alias("all"))
+    counts = counts.join(total, F.col("feature") == F.col("__feature"))
+    place = lambda i: (F.col("all") - 1) * i / F.lit(bins)
+    holds = lambda at: (at >= F.col("below_n")) & (at < F.col("below_n") + F.col("n"))
+    steps = F.filter(F.sequence(F.lit(0), F.lit(bins)), lambda i: holds(F.floor(place(i))) | holds(F.ceil(place(i))))
+    met = counts.withColumn("i", F.explode(steps))
+    share = F.max(place(F.col("i")) - F.floor(place(F.col("i"))))
+    ends = met.groupBy("feature", "i").agg(F.max(F.when(holds(F.floor(place(F.col("i")))), F.col("x"))).alias("lo"), F.max(F.when(holds(F.ceil(place(F.col("i")))), F.col("x"))).alias("hi"), share.alias("s"))
+    edge = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("s")) * F.col("lo") + F.col("s") * F.col("hi"))
+    held = ends.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", edge.alias("x")))).alias("e"))  # bins + 1 a feature
+    return held.select("feature", F.array_distinct(F.col("e.x")).alias("e"))
+
+
 def psi(baseline: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, eps: float = 1e-8) -> DataFrame:
     """(feature, psi): bins are quantiles of the baseline, equal edges once; values outside them are left out; 0 with one edge.
 
-    The edges are one short array a feature, so they are broadcast."""
+    The edges are one short array a feature."""
     base, now = unpivoted(baseline, columns), unpivoted(current, columns)
-    at = ", ".join(str(i / bins) for i in range(bins + 1))
-    edges = base.groupBy("feature").agg(F.array_distinct(F.expr(f"percentile(x, array({at}))")).alias("e"))
-    both = base.withColumn("k", F.lit("e")).unionByName(now.withColumn("k", F.lit("a"))).join(F.broadcast(edges), "feature")
+    edges = quantile_edges(base, bins)
+    both = base.withColumn("k", F.lit("e")).unionByName(now.withColumn("k", F.lit("a"))).groupBy("feature", "x", "k").agg(F.count("*").alias("m")).join(edges, "feature")
     n = F.size("e")
     # the bin of x: how many edges are at most x; the last edge belongs to the last bin
     bin_ = F.least(F.size(F.filter("e", lambda b: b <= F.col("x"))), n - 1)
     inside = both.filter((F.col("x") >= F.element_at("e", 1)) & (F.col("x") <= F.element_at("e", -1)) & (n > 1)).withColumn("bin", bin_)
-    counts = inside.groupBy("feature", "bin").agg(F.count_if(F.col("k") == "e").alias("ce"), F.count_if(F.col("k") == "a").alias("ca"))
+    of = lambda k: F.sum(F.when(F.col("k") == k, F.col("m")).otherwise(0))
+    counts = inside.groupBy("feature", "bin").agg(of("e").alias("ce"), of("a").alias("ca"))
     w = Window.partitionBy("feature")
     share = counts.withColumn("pe", F.try_divide("ce", F.sum("ce").over(w)) + eps).withColumn("pa", F.coalesce(F.try_divide("ca", F.sum("ca").over(w)), F.lit(0.0)) + eps)
     total = share.groupBy("feature").agg(F.sum((F.col("pe") - F.col("pa")) * F.log(F.col("pe") / F.col("pa"))).alias("psi"))
@@ -47,9 +80,8 @@ def classification(df: DataFrame, cut: float = 0.5) -> DataFrame:
 def auc(df: DataFrame) -> DataFrame:
     """(model, auc): the rank-sum form with mean ranks of ties, by counts of each score; null where one class is missing."""
     c = df.filter("label is not null").groupBy("model", "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    below = F.sum("n").over(Window.partitionBy("model").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("below", F.coalesce(below, F.lit(0)))
-    return c.groupBy("model").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    c = with_below(c, "model", "score", ["n"])
+    return c.groupBy("model").agg(F.try_divide(F.sum(F.col("p") * (F.col("below_n") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def r_squared(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -87,7 +87,8 @@ for _n in (21, 50):
 register("E19_tma", TMA, lambda df: ind.tma(ind.tma(df, 21, "tma21"), 50, "tma50"), "tma21", "tma50")
 SLOPE = BARS.ewm("close", "ema200", 2 / 201).add(f"row_number() {OVER} as rn").add(f"{filled(f'regr_slope(ema200, rn) {over(50)} / (case when avg(ema200) {over(50)} = 0 then 1.0 else avg(ema200) {over(50)} end)', 'ema200', 50)} as slope200")
 register("E20_linear_slope", SLOPE, lambda df: ind.linear_slope(ind.ema(df, "close", 200, "ema200"), "ema200", 50, "slope200"), "slope200", digits=8)
-_t12, _t5 = ind.T90[12] ** 2, ind.T90[5] ** 2
+#: The 0.90 quantile of Student's t for 10 and 3 degrees of freedom.
+_t12, _t5 = 1.3721836411102863**2, 1.6377443536962102**2
 SIGNIFICANT = SMOOTH.add(f"row_number() {OVER} as rn").add(*(f"{filled(f'regr_slope(rsi_smooth, rn) {over(n)}', 'rsi_smooth', n)} as slope{n}" for n in (12, 5)), *(f"{filled(f'coalesce(regr_r2(rsi_smooth, rn) {over(n)} > {t / (t + n - 2)!r}, false)', 'rsi_smooth', n)} as slope{n}_ok" for n, t in ((12, _t12), (5, _t5))))
 register("E21_significant_slope", SIGNIFICANT, lambda df: ind.significant_slope(ind.significant_slope(ind.smoothed_rsi(ind.rsi_wilder(df)), "rsi_smooth", 12, "slope12"), "rsi_smooth", 5, "slope5"), "slope12", "slope5", exact=("slope12_ok", "slope5_ok"))
 _names, _exprs = ["ret_1", "hl_ratio", "co_ratio"], [f"close / nullif(lag(close) {OVER}, 0) - 1 as ret_1", "high / nullif(low, 0) as hl_ratio", "close / nullif(open, 0) as co_ratio"]

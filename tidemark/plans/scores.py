@@ -128,11 +128,11 @@ def g09(spark, path):
     return df.select("symbol", "date", points.alias("points"))
 
 
-@query("G10_ema_structure", SWING.add(f"{filled(f'avg(close) {over(200)}', 'close', 200)} as sma200").sql("select symbol, date, case when ema20 > ema50 and ema50 > sma200 then 2 when ema20 > ema50 then 1 when ema50 > ema20 then -1 end as ema_struct, cast(greatest(least(volume % 5 - 2, 1), 0) + greatest(least(volume % 3 - 1, 1), 0) as integer) as consensus, round(close / nullif(ema20, 0), 6) as price_over_ema20 from {last}"))
+@query("G10_ema_structure", SWING.add(f"round({filled(f'avg(close) {over(200)}', 'close', 200)}, 9) as m200", "round(ema20, 9) as m20", "round(ema50, 9) as m50").sql("select symbol, date, case when m20 > m50 and m50 > m200 then 2 when m20 > m50 then 1 when m50 > m20 then -1 end as ema_struct, cast(greatest(least(volume % 5 - 2, 1), 0) + greatest(least(volume % 3 - 1, 1), 0) as integer) as consensus, round(close / nullif(ema20, 0), 6) as price_over_ema20 from {last}"))
 def g10(spark, path):
     df = ind.sma(emas(bars_walk(spark, path), "close", 20, 50), 200, "sma200")
     v = F.col("volume")
-    return df.select("symbol", "date", sc.ema_structure(F.col("ema20"), F.col("ema50"), F.col("sma200")).alias("ema_struct"), sc.classifier_consensus((v % 5 - 2).cast("int"), (v % 3 - 1).cast("int")).alias("consensus"), F.round(F.try_divide("close", "ema20"), 6).alias("price_over_ema20"))
+    return df.select("symbol", "date", sc.ema_structure(*(F.round(c, 9) for c in ("ema20", "ema50", "sma200"))).alias("ema_struct"), sc.classifier_consensus((v % 5 - 2).cast("int"), (v % 3 - 1).cast("int")).alias("consensus"), F.round(F.try_divide("close", "ema20"), 6).alias("price_over_ema20"))
 
 
 @query("G15_ensemble", Chain("bars_walk").sql("select symbol, date, round(case when volume % 3 = 0 then volume % 11 / 10.0 when volume % 3 = 1 then volume % 7 / 10.0 else 0.3 * (volume % 7) / 10.0 + 0.7 * (volume % 11) / 10.0 end, 6)::double as score from {last}"))

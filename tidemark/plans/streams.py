@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.models import logistic
 from tidemark.plans.ingest import scratch
 from tidemark.plans.registry import query, with_panels
 from tidemark.sources.tables import bars_walk, ticks
@@ -31,9 +32,6 @@ def m02(spark, path):
     rows = b.select("symbol", "date", ((F.col("close") - F.col("open")) / F.col("open")).alias("move"), (F.col("volume") / 100.0).alias("size"), (F.col("volume") % 2).cast("int").alias("label"))
     rows.repartition(4, "symbol").write.parquet(landed)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    weights, step = st.learner(["move", "size"])
-    batches = []
-    st.upsert_batches(stream, spark, store, scratch(spark, "store-checkpoint"), ["symbol", "date"], lambda df, n: (step(df, n), batches.append(n)))
-    from tidemark.operators.models import logistic
-
-    return spark.read.parquet(f"{store}/v{max(batches)}").withColumn("p", logistic(weights, ["move", "size"]))
+    model, batches = st.Learner(spark, scratch(spark, "weights"), ["move", "size"]), []
+    st.upsert_batches(stream, spark, store, scratch(spark, "store-checkpoint"), ["symbol", "date"], ("move", "size"), lambda df, n: (model.step(df, n), batches.append(n)))
+    return st.upserted(spark, store, max(batches), rows).withColumn("p", logistic(model.weights(max(batches)), ["move", "size"]))

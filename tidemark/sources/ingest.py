@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,11 +26,19 @@ def candles_from_records(df: DataFrame) -> DataFrame:
     return rows.select("symbol", F.to_date("date").alias("date"), "open", "high", "low", "close", "volume").na.drop()
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """base with delta's rows in place of those with equal keys, and added where there are none."""
-    both = base.withColumn("__new", F.lit(0)).unionByName(delta.withColumn("__new", F.lit(1)))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new")))
-    return both.withColumn("__n", first).filter("__n = 1").drop("__n", "__new")
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """base with delta's rows in place of those with equal keys, and added where there are none.
+
+    Of delta's rows with equal keys that with the greatest `order` columns wins, then the one with the greatest other
+    columns, so the result does not depend on how rows arrive. Null keys are equal. Only delta is sorted; base is
+    anti-joined by key, so a small delta does not shuffle it.
+    """
+    rest = [c for c in base.columns if c not in (*keys, *order)]
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in (*order, *rest, *([] if order or rest else keys)))))
+    last = delta.select(base.columns).withColumn("__n", newest).filter("__n = 1").drop("__n")
+    gone = last.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return base.join(gone, same, "left_anti").unionByName(last)
 
 
 def statements_from_maps(df: DataFrame, fields: dict[str, list[str]], quarters: int = 6) -> DataFrame:

@@ -27,26 +27,59 @@ def stream_bars(ticks: DataFrame, to: str, checkpoint: str, late: str = "2 days"
     q.awaitTermination()
 
 
-def upsert_batches(source: DataFrame, spark: SparkSession, store: str, checkpoint: str, keys: list[str], on_batch: Callable[[DataFrame, int], None] | None = None) -> None:
-    """Each micro-batch replaces the rows of equal keys in a table, as a new version; a batch that is run again writes the
-    same version, so a restart does no harm."""
+def upsert_batches(source: DataFrame, spark: SparkSession, store: str, checkpoint: str, keys: list[str], order: tuple[str, ...] = (), on_batch: Callable[[DataFrame, int], None] | None = None, parts: int = 16) -> None:
+    """Each micro-batch replaces the rows of equal keys in a table; of a batch's rows with equal keys the greatest in `order`
+    wins.
+
+    The table is held in `parts` parts by a hash of the keys. A batch rewrites only the parts that it touches, under its own
+    number; a list a batch says which number is the newest of each part. A batch that is run again starts from the list of
+    the batch before and writes the same files, so a restart does no harm. on_batch must be safe to repeat as well.
+    """
 
     def one(batch: DataFrame, number: int) -> None:
-        version = f"{store}/v{number}"
-        base = spark.read.parquet(f"{store}/v{number - 1}") if number else batch.limit(0)
-        last = batch.dropDuplicates(keys)
-        upsert(base, last, keys).write.mode("overwrite").parquet(version)
+        batch = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")).persist()
+        newest = _newest(spark, store, number - 1)
+        touched = [r["part"] for r in batch.select("part").distinct().collect()]  # `parts` numbers at most
+        base = _parts(spark, store, {p: v for p, v in newest.items() if p in touched}, batch)
+        if touched:
+            upsert(base, batch, ["part", *keys], order).write.mode("overwrite").partitionBy("part").parquet(f"{store}/v{number}")
+        newest |= dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(newest.items()), "part int, number int").coalesce(1).write.mode("overwrite").parquet(f"{store}/list{number}")
         if on_batch:
-            on_batch(last, number)
+            on_batch(batch.drop("part"), number)
+        batch.unpersist()
 
     source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def learner(features: list[str], rate: float = 0.1) -> tuple[dict[str, float], Callable[[DataFrame, int], None]]:
-    """Weights, and the function that moves them by a gradient step per micro-batch."""
-    weights: dict[str, float] = {}
+def _newest(spark: SparkSession, store: str, number: int) -> dict[int, int]:
+    return {} if number < 0 else {r["part"]: r["number"] for r in spark.read.parquet(f"{store}/list{number}").collect()}  # a row a part
+
+
+def _parts(spark: SparkSession, store: str, newest: dict[int, int], like: DataFrame) -> DataFrame:
+    out = like.limit(0)
+    for number in sorted(set(newest.values())):  # a read a number that is still the newest of some part
+        mine = [p for p, v in newest.items() if v == number]
+        out = out.unionByName(spark.read.schema(like.schema).parquet(f"{store}/v{number}").filter(F.col("part").isin(mine)))
+    return out
+
+
+def upserted(spark: SparkSession, store: str, number: int, like: DataFrame) -> DataFrame:
+    """The table after micro-batch `number`, with the columns of `like`."""
+    out = _parts(spark, store, _newest(spark, store, number), like.withColumn("part", F.lit(0)))
+    return out.select(like.columns)
+
+
+class Learner:
+    """Online weights, moved by a gradient step per micro-batch and stored with its number: a batch that is run again starts
+    from the weights of the batch before, and a new process goes on where the last one ended."""
+
+    def __init__(self, spark: SparkSession, store: str, features: list[str], rate: float = 0.1):
+        self.spark, self.store, self.features, self.rate = spark, store, features, rate
 
-    def step(batch: DataFrame, number: int) -> None:
-        weights.update(md.online_step(dict(weights), batch, features, rate=rate))
+    def weights(self, number: int) -> dict[str, float]:
+        return {} if number < 0 else {r["feature"]: r["weight"] for r in self.spark.read.parquet(f"{self.store}/w{number}").collect()}  # a row a feature
 
-    return weights, step
+    def step(self, batch: DataFrame, number: int) -> None:
+        new = md.online_step(self.weights(number - 1), batch, self.features, rate=self.rate)
+        self.spark.createDataFrame(sorted(new.items()), "feature string, weight double").coalesce(1).write.mode("overwrite").parquet(f"{self.store}/w{number}")
