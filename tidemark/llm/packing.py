@@ -54,7 +54,7 @@ class ChunkIds:
         split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split) - known.keys()
-        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2])}  # a word and marks are two borders apart
+        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2]) and m[1].lower().isalpha()}  # a word and marks are two borders apart
         need = {c for c in new if c not in marked} | {p for parts in marked.values() for p in parts if p not in known}
         fresh = self._learn(list(need))
         both = lambda p: known[p] if p in known else fresh[p]
@@ -154,63 +154,84 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, max_victims: int = 400, max_steps: int = 200) -> np.ndarray:
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: the greatest, over k, of the bins that items over capacity - k need for themselves, and
+    those that the items from k up to it need beside the room that the former leave (k up to half the capacity); and, over
+    j, of a bin for every j items over capacity / (j + 1)."""
+    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    n, total = np.append(np.cumsum(count[::-1])[::-1], 0), np.append(np.cumsum((count * np.arange(capacity + 1))[::-1])[::-1], 0)  # of this length or longer
+    k, half = np.arange(capacity // 2 + 1), capacity // 2 + 1
+    wide = n[half]  # no two of these share a bin
+    big = n[capacity - k + 1]
+    middle = wide - big
+    rest = total[k] - total[capacity - k + 1]  # k to capacity - k
+    j = np.arange(1, capacity)
+    return int(max((big + np.maximum(middle, -(-rest // capacity))).max(initial=0), (-(-n[capacity // (j + 1) + 1] // j)).max(initial=0)))
+
+
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Empties underfull bins by exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives its items away: an item moves to a bin with room for it (the fullest such), or is exchanged for
-    one smaller item, or for two smaller ones together, or two of its items for one, of a bin that has room for the
-    difference (the largest difference, then the one that leaves the least room). All leave the emptier bin emptier and a fuller one fuller. A bin that can't be
-    emptied in max_steps is left as it is; after max_victims such bins, or at the bound total/capacity, the search ends.
+    The emptiest bin gives its items away: an item moves to a bin with room for it (the fullest such); else it is exchanged
+    for one smaller item, or for two smaller ones together, or two of its items for one, of a bin that has room for the
+    difference (the largest difference, then the one that leaves the least room). All leave the emptier bin emptier and a
+    fuller one fuller, so they end. All items of all underfull bins, and all pairs that share a bin, take part. A bin that
+    can't be emptied is left as it was; the search ends when that holds for every underfull bin, or at least_bins.
     """
     bins = bins.copy()
     n_bins = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, lengths, n_bins).astype(np.int64)
-    least = -(-int(lengths.sum()) // capacity)
+    least = least_bins(lengths, capacity)
     alive = int((fill > 0).sum())
-    stuck: set[int] = set()
-    while alive > least and len(stuck) < max_victims:
-        open_bins = np.flatnonzero((fill > 0) & (fill < capacity))
-        victims = [b for b in open_bins[np.argsort(fill[open_bins], kind="stable")[: len(stuck) + 1]].tolist() if b not in stuck]
-        if not victims:
+    stuck = np.zeros(n_bins, bool)
+    while alive > least:
+        victims = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
+        if not len(victims):
             break
-        victim = victims[0]
-        before = bins.copy(), fill.copy()
+        victim = int(victims[np.argmin(fill[victims])])
         items = np.flatnonzero((fill[bins] < capacity) & (bins != victim))  # only underfull bins can take anything
         own = np.flatnonzero(bins == victim).tolist()
-        first, second = _pairs(items, bins)
-        for _ in range(max_steps):
-            if not own or not _step(lengths, bins, fill, capacity, victim, own, items, first, second):
-                break
+        before = own.copy(), bins[items], fill.copy()
+        while own and _step(lengths, bins, fill, capacity, victim, own, items):
+            items = np.union1d(items, before[0])  # what the victim has given away can be exchanged again
         if own:
-            bins, fill = before
-            stuck.add(victim)
+            bins[before[0]], fill = victim, before[2]
+            bins[np.setdiff1d(items, before[0], assume_unique=True)] = before[1]
+            stuck[victim] = True
         else:
             alive -= 1
     _, bins = np.unique(bins, return_inverse=True)
     return bins
 
 
-def _pairs(items: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of items that share a bin and lie at most three places apart in it."""
-    order = items[np.argsort(bins[items], kind="stable")]
-    found = [(order[:-d], order[d:]) for d in (1, 2, 3) if len(order) > d]
-    if not found:
-        return items[:0], items[:0]
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    same = bins[a] == bins[b]
-    return a[same], b[same]
+def _pairs(items: np.ndarray, bins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of items that share a bin: of pairs with equal bin and lengths one. A bin has few different lengths (k of them
+    are k * (k + 1) / 2 tokens or more)."""
+    order = items[np.lexsort((lengths[items], bins[items]))]
+    same = np.zeros(len(order), bool)
+    same[1:] = (bins[order][1:] == bins[order][:-1]) & (lengths[order][1:] == lengths[order][:-1])
+    place = np.flatnonzero(~same)
+    twice = place[np.append(same, False)[place + 1]]
+    one, two = [order[twice]], [order[twice + 1]]
+    kinds = order[place]
+    for d in range(1, len(kinds)):
+        near = np.flatnonzero(bins[kinds[:-d]] == bins[kinds[d:]])
+        if not len(near):
+            break
+        one.append(kinds[near])
+        two.append(kinds[near + d])
+    return np.concatenate(one), np.concatenate(two)
 
 
-def _step(lengths, bins, fill, capacity, victim, own, items, first, second) -> bool:
+def _step(lengths, bins, fill, capacity, victim, own, items) -> bool:
     """One exchange between the victim and another bin; own is the list of the victim's items."""
+    items = items[bins[items] != victim]
     where = bins[items]
-    outside = where != victim
-    size, room = lengths[items], np.where(outside & (fill[where] > 0), capacity - fill[where], -1)
+    size, room = lengths[items], capacity - fill[where]
     for i in sorted(own, key=lambda x: -lengths[x]):  # move
         fits = np.flatnonzero(room >= lengths[i])
         if len(fits):
-            to = int(where[fits[np.argmin(room[fits])]])
-            _shift(lengths, bins, fill, own, victim, [i], to, [])
+            _shift(lengths, bins, fill, own, victim, [i], int(where[fits[np.argmin(room[fits])]]), [])
             return True
     best: tuple[int, list[int], int, list[int]] | None = None
 
@@ -223,16 +244,17 @@ def _step(lengths, bins, fill, capacity, victim, own, items, first, second) -> b
             if best is None or worth.max() > best[0]:
                 best = int(worth.max()), mine, int(target[j]), theirs(j)
 
-    for i in own:
+    kinds = {int(lengths[i]): i for i in own}  # items of equal length are alike
+    for i in kinds.values():
         consider([i], lengths[i] - size, room, where, lambda j: [int(items[j])])
-    if len(first):
-        at = bins[first]
-        together = (at == bins[second]) & (at != victim) & (fill[at] > 0)
-        pair_room = np.where(together, capacity - fill[at], -1)
-        for i in own:
-            consider([i], lengths[i] - lengths[first] - lengths[second], pair_room, at, lambda j: [int(first[j]), int(second[j])])
-    for a, i in enumerate(own[:8]):
-        for k in own[a + 1 : 8]:
+    if best is None:
+        first, second = _pairs(items, bins, lengths)
+        together, at = lengths[first] + lengths[second], bins[first]
+        for i in kinds.values():
+            consider([i], lengths[i] - together, capacity - fill[at], at, lambda j: [int(first[j]), int(second[j])])
+    if best is None:
+        mine = np.array(own, np.int64)
+        for i, k in zip(*(x.tolist() for x in _pairs(mine, bins, lengths)), strict=True):
             consider([i, k], lengths[i] + lengths[k] - size, room, where, lambda j: [int(items[j])])
     if best is None:
         return False
