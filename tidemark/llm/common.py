@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: tables in the shared folder and a key filter of fixed size."""
+"""Shared pieces of the training-data operators: tables in the shared folder and a key filter of bounded size."""
 
 from __future__ import annotations
 
@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where spark.checkpoint.dir is unset (tests)."""
+    """The folder that all executors share. Where spark.checkpoint.dir is unset, a local master (tests) has a temporary one;
+    on a cluster there is none then."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(sc, "_tidemark_dir"):
+        sc._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return sc._tidemark_dir
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -73,33 +78,39 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 class KeyFilter:
-    """A bitmap of 2**bits hashed keys, broadcast to every task.
+    """A bitmap of hashed keys, broadcast to every task: about 16 bits a counted key, from 2**16 to 2**27 (16 MB) in all.
 
-    Its size is fixed (2**(bits-6) rows of 16 bytes: 1 MB at 22 bits), whatever the number of keys. A key that was put in
-    is always found; others are found by chance, so callers must treat a hit as "perhaps" and a miss as "surely not".
-    It spares non-members a shuffle. With very many keys it lets all rows through, which costs time but not results.
+    A key that was put in is always found; others are found by chance (one in sixteen, more only beyond eight million keys),
+    so callers must treat a hit as "perhaps" and a miss as "surely not". It spares non-members a shuffle. Past 2**27 keys it
+    would let nearly all rows through, so none is built then: that costs time but not results.
     """
 
-    def __init__(self, keys: DataFrame, columns: list[str], bits: int = 22):
-        self.columns, self.bits = columns, bits
-        slot = self._slot([F.col(c) for c in columns])
-        self.table = (
-            keys.select(slot.alias("__slot"))
-            .select(F.expr("shiftright(__slot, 6)").alias("__word"), F.expr("shiftleft(1L, cast(__slot & 63 as int))").alias("__bit"))
-            .groupBy("__word")
-            .agg(F.bit_or("__bit").alias("__mask"))
-        )
+    WORDS = 128  # 64-bit words in a row of the broadcast table
+
+    def __init__(self, keys: DataFrame, columns: list[str]):
+        n = keys.count()
+        self.columns, self.bits = columns, min(max(16, (16 * n - 1).bit_length()), 27)
+        self.table = None
+        if n <= 1 << 27:
+            word = keys.select(self._slot([F.col(c) for c in columns]).alias("__slot"))
+            word = word.groupBy(F.expr("shiftright(__slot, 6)").alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__slot & 63 as int))")).alias("__bits"))
+            place = F.expr(f"cast(__word % {self.WORDS} as int)")
+            row = word.groupBy(F.floor(F.col("__word") / self.WORDS).alias("__row")).agg(F.map_from_entries(F.collect_list(F.struct(place, "__bits"))).alias("__m"))
+            self.table = row.select("__row", F.transform(F.sequence(F.lit(0), F.lit(self.WORDS - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0))).alias("__mask"))
 
     def _slot(self, columns: list[Column]) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(1 << self.bits))
 
     def flag(self, df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
         """Adds the boolean column `name`: true where the key is perhaps a member."""
+        if self.table is None:
+            return df.withColumn(name, F.lit(True))
         slot = self._slot([F.col(f"`{c}`") for c in (columns or self.columns)])
-        out = df.withColumn("__slot", slot).withColumn("__word", F.expr("shiftright(__slot, 6)"))
-        out = out.join(F.broadcast(self.table), "__word", "left")
-        hit = F.expr("coalesce(getbit(__mask, cast(__slot & 63 as int)), 0) = 1")
-        return out.withColumn(name, hit).drop("__word", "__slot", "__mask")
+        out = df.withColumn("__slot", slot).withColumn("__row", F.expr(f"shiftright(__slot, 6) div {self.WORDS}"))
+        out = out.join(F.broadcast(self.table), "__row", "left")
+        word = F.get("__mask", F.expr(f"cast(shiftright(__slot, 6) % {self.WORDS} as int)"))
+        hit = F.getbit(F.coalesce(word, F.lit(0)), F.expr("cast(__slot & 63 as int)")) == 1
+        return out.withColumn(name, hit).drop("__row", "__slot", "__mask")
 
 
 def drop_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
