@@ -1,6 +1,7 @@
 """Corpus pipeline: quality, exact and near duplicates, mixing, packing; each stage works on all that the last one kept.
 
-Rows whose doc_id is null have no key to be dropped by and stay through the filtering stages.
+The filtering stages judge rows, not ids: where a doc_id repeats or is null, rows are numbered by (doc_id, text) first, null
+ids last, and that number is the key. Rows equal in both are one document until the exact stage, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -23,28 +24,56 @@ TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without the rows that judged (id, kept) rejects."""
-    dropped = Workspace(docs.sparkSession, "dropped").save(judged.filter("not kept").select(F.col("id").alias("doc_id")), "ids")
-    return drop_keys(docs, dropped, "doc_id").select(docs.columns)
+ROW = "pipeline_row"
+
+
+def _keyed(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool]:
+    """docs with the key ROW, which rises with doc_id: doc_id itself where that is distinct and never null (False), else the
+    row's number by (doc_id, text) (True). The latter shuffles texts, the former only ids."""
+    doc_id = F.col("doc_id").cast("bigint")
+    odd = docs.groupBy(doc_id.alias("doc_id")).count().filter("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        return docs.withColumn(ROW, doc_id), False
+    tagged = docs.withColumn("pipeline_tag", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("pipeline_id", doc_id)
+    keys = tagged.select("pipeline_id", "pipeline_tag").distinct().sort(F.asc_nulls_last("pipeline_id"), "pipeline_tag")
+    keys = ws.save(keys.withColumn(ROW, F.monotonically_increasing_id()), "rows")  # partitions of a sort are in its order
+    keys = keys.withColumnsRenamed({"pipeline_id": "row_id", "pipeline_tag": "row_tag"})
+    same = F.col("pipeline_id").eqNullSafe(F.col("row_id")) & (F.col("pipeline_tag") == F.col("row_tag"))
+    return tagged.join(keys, same).drop("pipeline_id", "pipeline_tag", "row_id", "row_tag"), True
+
+
+def _filtered(docs: DataFrame, judge, once: bool = False) -> DataFrame:
+    """docs without the rows that judge(docs, key column) rejects: its rows are (id, kept). With `once`, equal rows stay once."""
+    ws = Workspace(docs.sparkSession, "filtered")
+    keyed, numbered = _keyed(docs, ws)
+    judged = judge(keyed, ROW)
+    dropped = ws.save(judged.filter("not kept").select(F.col("id").alias(ROW)), "ids")
+    kept = drop_keys(keyed, dropped, ROW)
+    return (kept.dropDuplicates([ROW]) if once and numbered else kept).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
+    """Documents that importance resampling selects; all rows of a labelled doc_id have its label."""
     ship_package(spark)
-    return _without(docs, quality_selection(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+    def judge(keyed: DataFrame, key: str) -> DataFrame:
+        named = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), key).distinct().join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+        return quality_selection(keyed, named.select(F.col(key).alias("doc_id"), "quality", "toxic"), id_col=key)
+
+    return _filtered(docs, judge)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of equal documents."""
+    """The first of equal documents, one row of it."""
     ship_package(spark)
-    return _without(docs, exact_dedup(docs))
+    return _filtered(docs, lambda keyed, key: exact_dedup(keyed, id_col=key), once=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of each group of near duplicates."""
     ship_package(spark)
-    return _without(docs, near_dedup(docs))
+    return _filtered(docs, lambda keyed, key: near_dedup(keyed, id_col=key))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
