@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, drop_keys, ship_package
+from tidemark.llm.common import Workspace, drop_keys, keyed_rows, ship_package
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix, source_rates
 from tidemark.llm.near_dedup import near_dedup
@@ -27,25 +27,10 @@ ORACLE_SQL = None
 ROW = "pipeline_row"
 
 
-def _keyed(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, bool]:
-    """docs with the key ROW, which rises with doc_id: doc_id itself where that is distinct and never null (False), else the
-    row's number by (doc_id, text) (True). The latter shuffles texts, the former only ids."""
-    doc_id = F.col("doc_id").cast("bigint")
-    odd = docs.groupBy(doc_id.alias("doc_id")).count().filter("doc_id is null or count > 1").limit(1).count()
-    if not odd:
-        return docs.withColumn(ROW, doc_id), False
-    tagged = docs.withColumn("pipeline_tag", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("pipeline_id", doc_id)
-    keys = tagged.select("pipeline_id", "pipeline_tag").distinct().sort(F.asc_nulls_last("pipeline_id"), "pipeline_tag")
-    keys = ws.save(keys.withColumn(ROW, F.monotonically_increasing_id()), "rows")  # partitions of a sort are in its order
-    keys = keys.withColumnsRenamed({"pipeline_id": "row_id", "pipeline_tag": "row_tag"})
-    same = F.col("pipeline_id").eqNullSafe(F.col("row_id")) & (F.col("pipeline_tag") == F.col("row_tag"))
-    return tagged.join(keys, same).drop("pipeline_id", "pipeline_tag", "row_id", "row_tag"), True
-
-
 def _filtered(docs: DataFrame, judge, once: bool = False) -> DataFrame:
     """docs without the rows that judge(docs, key column) rejects: its rows are (id, kept). With `once`, equal rows stay once."""
     ws = Workspace(docs.sparkSession, "filtered")
-    keyed, numbered = _keyed(docs, ws)
+    keyed, numbered = keyed_rows(docs, ws, "doc_id", "text", ROW)
     judged = judge(keyed, ROW)
     dropped = ws.save(judged.filter("not kept").select(F.col("id").alias(ROW)), "ids")
     kept = drop_keys(keyed, dropped, ROW)

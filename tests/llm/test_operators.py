@@ -352,38 +352,6 @@ def test_language_model(docs, odd, none, rows):
     assert score_texts(none).count() == 0
 
 
-def test_language_model_adds_up():
-    """Under any seating a restaurant's probabilities, with the unknown word's, sum to one."""
-    from tidemark.llm.hpylm import CONTEXTS, Chain
-
-    rng = np.random.default_rng(4)
-    words_ = np.sort(rng.integers(1, 1 << 60, 50).astype(np.uint64))
-    cells = np.unique(rng.integers(0, 50, 300) * 1024 + rng.integers(0, 4, 300))
-    row = {"shard": 0, "words": words_.tobytes(), "cell_word": (cells >> 10).astype("<u4").tobytes(), "cell_ctx": (cells & 1023).astype("<u2").tobytes(), "cell_n": rng.integers(1, 90, len(cells)).astype("<u8").tobytes()}
-    model = {"types": 50, "tokens": 0, "seed": 1, "d1": 0.6, "d0": 0.4, "t1": 1.0, "t0": 1.0, "sizes": None}
-    chain = Chain(row, model)
-    model["sizes"] = np.bincount(chain.ctx, chain.n, CONTEXTS)
-
-    def totals():
-        t = chain.totals()
-        return {"tables": t[:CONTEXTS], "customers": t[CONTEXTS], "root_tables": t[CONTEXTS + 1]}
-
-    for number in range(3):
-        chain.sweep(number, totals())
-        assert (chain.tables >= 1).all() and (chain.tables <= chain.n).all()
-        now = totals()
-        root = chain.root(now)
-        unknown = (model["t0"] + model["d0"] * now["root_tables"]) / 51 / (model["t0"] + now["customers"])
-        assert abs(root.sum() + unknown - 1) < 1e-9
-        for ctx in range(4):
-            n, t = np.zeros(50), np.zeros(50)
-            mine = chain.ctx == ctx
-            n[chain.word[mine]], t[chain.word[mine]] = chain.n[mine], chain.tables[mine]
-            p = chain.of(n, t, np.full(50, ctx), root, now)
-            own = chain.of(np.zeros(1), np.zeros(1), np.array([ctx]), np.array([unknown]), now)
-            assert abs(p.sum() + own[0] - 1) < 1e-9
-
-
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline as cp
 

@@ -122,3 +122,19 @@ def drop_keys(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     clear = flagged.filter("not __perhaps").drop("__perhaps")
     rest = flagged.filter("__perhaps").drop("__perhaps").join(dropped.select(F.col(key).alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
     return clear.unionByName(rest)
+
+
+def keyed_rows(docs: DataFrame, ws: Workspace, id_col: str, text_col: str, key: str) -> tuple[DataFrame, bool]:
+    """docs with the column `key`, which rises with the id and tells rows apart: the id itself where ids are distinct and
+    never null (False), else the row's number by (id, text), null ids last (True); rows equal in both have one key. The
+    latter shuffles texts, the former only ids."""
+    own = F.col(f"`{id_col}`").cast("bigint")
+    odd = docs.groupBy(own.alias("key_id")).count().filter("key_id is null or count > 1").limit(1).count()
+    if not odd:
+        return docs.withColumn(key, own), False
+    tagged = docs.withColumn("key_tag", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")))).withColumn("key_id", own)
+    keys = tagged.select("key_id", "key_tag").distinct().sort(F.asc_nulls_last("key_id"), "key_tag")
+    keys = ws.save(keys.withColumn(key, F.monotonically_increasing_id()), "rows")  # partitions of a sort are in its order
+    keys = keys.withColumnsRenamed({"key_id": "row_id", "key_tag": "row_tag"})
+    same = F.col("key_id").eqNullSafe(F.col("row_id")) & (F.col("key_tag") == F.col("row_tag"))
+    return tagged.join(keys, same).drop("key_id", "key_tag", "row_id", "row_tag"), True
