@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -73,6 +74,13 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Once a written table has cut the lineage: lets Spark's cleaner delete the shuffle files that nothing refers to now,
+    instead of at the driver's next garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

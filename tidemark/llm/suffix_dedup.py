@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, Workspace, shuffle_partitions
+from tidemark.llm.common import KeyFilter, Workspace, forget_shuffles, shuffle_partitions
 from tidemark.llm.shingles import M3, PLACE, scrambled
 
 GRAM = 24  # bytes of the grams whose least hash names a window
@@ -495,11 +495,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     parts = max(least, -(-(own.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // part_bytes))
     sent = own.mapInArrow(_emit_runs(width), _ddl(RUNS))
     first = ws.save(sent.repartition(parts, "deal").mapInArrow(_judge_names, _ddl(JUDGED)), "first")
+    forget_shuffles(spark)
 
     asked = first.filter("name is not null")
     heavy = ws.save(asked.groupBy("name").count().filter(F.col("count") > HEAVY).select(F.col("name").alias("heavy_name")), "heavy")
     asked = asked.join(heavy, asked["name"] == heavy["heavy_name"], "left").select("doc", "tag", F.struct("span", "name", F.col("heavy_name").isNotNull().alias("heavy")).alias("ask"))
     asked = ws.save(asked.groupBy("doc", "tag").agg(F.collect_set("ask").alias("asked")), "asked")  # bounded by the text's length
+    forget_shuffles(spark)
     texts = KeyFilter(asked.select("doc"), ["doc"]).flag(own, "wanted").filter("wanted").select("doc", "tag", "body")
     placed = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "body", "asked").mapInArrow(_emit_texts(width), _ddl(PLACED))
     parts = max(least, -(-first.filter("name is not null").count() * 2 * width // part_bytes))
