@@ -149,3 +149,26 @@ def op10_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_hpylm": op10_hpylm}
+
+
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with d as (select row_number() over () as row, doc_id, coalesce(doc_id, -9223372036854775808) as id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select row, id, pos, lines[pos] as line,
+  translate(trim(lines[pos], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select *, unnest(range(1, len(lines) + 1)) as pos from d)),
+k as (select key, max(id) as last from l where length(key) >= 20 group by key having count(distinct id) >= 3),
+s as (select row, pos, line, coalesce(l.id < k.last, false) as gone from l left join k using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, cast(count_if(gone) as bigint) as n_dropped,
+  sha256(coalesce(array_to_string(list(line order by pos) filter (where not gone), chr(10)), '')) as kept_sha256
+from s join d using (row) group by row
+"""
+
+QUERIES |= {"op11_line_dedup": op11_line_dedup}
+ORACLES |= {"op11_line_dedup": OP11_SQL}
