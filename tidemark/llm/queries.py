@@ -172,3 +172,69 @@ from s join d using (row) group by row
 
 QUERIES |= {"op11_line_dedup": op11_line_dedup}
 ORACLES |= {"op11_line_dedup": OP11_SQL}
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import leaf_digest, manifest
+
+    doc_id = F.col("doc_id").cast("string")
+    found = F.when(F.crc32(doc_id.cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = lambda text: leaf_digest(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    out = manifest(table(spark, sf_dir, "documents"), "source", "doc_id", fields(F.col("text")), fields(found))
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def _merkle_sql() -> str:
+    enc = lambda c: f"case when {c} is null then '-' else strlen(cast({c} as varchar)) || ':' || cast({c} as varchar) end"
+    leaf = lambda text: f"sha256({' || '.join(enc(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    bit = "list_reduce(list_prepend(xor(c, b), [0::bigint,0,0,0,0,0,0,0]), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))"
+    crc = f"list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda s: ascii(s)::bigint)), lambda c, b: {bit})"
+    up = "select t, lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from {0} where n > 1 group by t, lvl, i // 3"
+    return f"""
+with recursive d as (select *, case when xor({crc}, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as found from documents),
+l as (select doc_id, {leaf('text')} as leaf, {leaf('found')} as changed, dense_rank() over (order by source nulls first) - 1 as t,
+  row_number() over (partition by source order by doc_id nulls first) - 1 as i, count(*) over (partition by source) as n from d),
+a as (select t, 0::bigint as lvl, i, leaf as h, n from l union all {up.format('a')}),
+s as (select h, t as i, count(*) over () as n from a where n = 1),
+b as (select 0::bigint as t, 0::bigint as lvl, i, h, n from s union all {up.format('b')}),
+w as (select t, lvl, i, h, n from a where n > 1 union all select x.t, b.lvl + 1000, b.i, b.h, b.n from b, (select distinct t from l) x where b.n > 1),
+p as (select doc_id, l.t, l.changed, l.i as leaf_i, w.lvl, w.i, w.h, case when w.lvl < 1000 then (l.i // cast(pow(3, w.lvl) as bigint)) else l.t // cast(pow(3, w.lvl - 1000) as bigint) end as own from l join w on l.t = w.t
+  and w.i // 3 = (case when w.lvl < 1000 then (l.i // cast(pow(3, w.lvl) as bigint)) else l.t // cast(pow(3, w.lvl - 1000) as bigint) end) // 3),
+g as (select doc_id, lvl, coalesce(string_agg(h, '' order by i) filter (where i < own), '') as pre, coalesce(string_agg(h, '' order by i) filter (where i > own), '') as post from p group by doc_id, lvl),
+f as (select doc_id, list({{'h': '', 'pre': pre, 'post': post}} order by lvl) as steps from g group by doc_id)
+select l.doc_id, leaf, s.h as subroot, (select h from b where n = 1) as root,
+  sha256(coalesce(array_to_string(list_transform(steps, lambda x: x.pre || x.post), ''), '')) as proof_sha256,
+  list_reduce(list_prepend({{'h': changed, 'pre': '', 'post': ''}}, coalesce(steps, [])), lambda q, x: {{'h': sha256(x.pre || q.h || x.post), 'pre': '', 'post': ''}}).h as folded_root, folded_root = (select h from b where n = 1) as verified
+from l join s on l.t = s.i left join f using (doc_id)
+"""
+
+
+QUERIES |= {"op12_manifest": op12_manifest}
+ORACLES |= {"op12_manifest": _merkle_sql()}
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.treap import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = r"""
+with t as (select 'd' as kind, row_number() over (order by doc_id) as row, doc_id as id, text from documents
+  union all select 'i', row_number() over (order by item_id), item_id, text from benchmark),
+x as materialized (select kind, row, any_value(id) as id, term, count(*) as tf from (select kind, row, id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from t) group by kind, row, term),
+n as (select row, cast(sum(tf) as bigint) as n from x where kind = 'd' group by row),
+g as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from n),
+f as (select term, count(*) as df from x where kind = 'd' group by term),
+w as (select term, cast(floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double)) as bigint) as w from f, g),
+m as (select row, 100 - 25 + ((25 * n * docs) // terms) as m from n, g),
+s as (select i.row as item, any_value(i.id) as item_id, d.row as doc, any_value(d.id) as doc_id,
+  cast(sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m))) as bigint) as score
+  from x i join x d on i.term = d.term join w on w.term = d.term join m on m.row = d.row where i.kind = 'i' and d.kind = 'd' group by i.row, d.row),
+r as (select *, row_number() over (partition by item order by score desc, doc_id nulls last, doc) as rank from s where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 20
+"""
+
+QUERIES |= {"op13_treap_search": op13_treap_search}
+ORACLES |= {"op13_treap_search": OP13_SQL}
