@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, Workspace, shuffle_partitions
+from tidemark.llm.common import KeyFilter, Workspace
 
 SPACE = " \t\n\v\f\r"
 KEY = ["h1", "h2"]
+BUCKET = 1 << 23  # lines, of all batches, that a bucket is planned for
 NO_ID = -(1 << 63)  # a null id counts as this one
 
 
@@ -40,16 +41,15 @@ class LineRuns:
     an id must come in one batch.
     """
 
-    def __init__(self, ws: Workspace, min_docs: int, fan: int = 4):
-        self.ws, self.spark, self.min_docs, self.fan = ws, ws.spark, min_docs, fan
-        self.buckets = shuffle_partitions(self.spark)
+    def __init__(self, ws: Workspace, min_docs: int, buckets: int, fan: int = 2):
+        self.ws, self.spark, self.min_docs, self.buckets, self.fan = ws, ws.spark, min_docs, buckets, fan
         self.name, self.made = f"line_run_{uuid.uuid4().hex}", 0
         self.levels: list[list[DataFrame]] = [[]]
 
     def _write(self, entries: DataFrame) -> DataFrame:
+        """entries as a run; they are dealt by KEY to as many partitions as there are buckets, so each task writes one."""
         name, self.made = f"{self.name}_{self.made}", self.made + 1
-        dealt = entries.repartition(self.buckets, *KEY)
-        dealt.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.ws.path(name)).saveAsTable(name)
+        entries.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.ws.path(name)).saveAsTable(name)
         return self.spark.table(name)
 
     @property
@@ -66,7 +66,7 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Takes a batch of (h1, h2, id) in."""
-        batch = lines.groupBy(*KEY).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).alias("b")
+        batch = lines.groupBy(*KEY).agg(F.count_distinct("id").alias("n"), F.max("id").alias("last")).repartition(self.buckets, *KEY).alias("b")
         for run in self.runs:
             settled = run.filter(F.col("n") >= self.min_docs).alias("r")
             same = (F.col("b.h1") == F.col("r.h1")) & (F.col("b.h2") == F.col("r.h2")) & (F.col("r.last") >= F.col("b.last"))
@@ -99,7 +99,7 @@ def _kept(body: Column, drops: Column) -> Column:
     return F.array_join(F.flatten(pieces), "\n")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 8, fan: int = 4, ws: Workspace | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4, fan: int = 2, ws: Workspace | None = None) -> DataFrame:
     """(id, n_lines, n_dropped, kept): a row for each row of docs, kept being its text without the lines dropped.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. A key of at least min_chars code points
@@ -124,7 +124,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed_lines(base, min_chars).withColumn("batch", number).write.partitionBy("batch").parquet(ws.path("hashes"))
     hashes = docs.sparkSession.read.schema("id bigint, tag bigint, pos int, h1 bigint, h2 bigint, batch int").parquet(ws.path("hashes"))
 
-    runs = LineRuns(ws, min_docs, fan)
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-hashes.count() // BUCKET))
+    runs = LineRuns(ws, min_docs, buckets, fan)
     for b in range(len(set(cuts or [])) + 1):
         runs.add(hashes.filter(F.col("batch") == b).select(*KEY, "id"))
     repeated = ws.save(runs.repeated(), "repeated")
