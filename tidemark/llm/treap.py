@@ -27,7 +27,8 @@ def hashes(terms: pa.Array) -> np.ndarray:
 
 def counted_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n, doc, term, tf): n by text, and a row for each distinct term of a text, ordered by text."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())), BETWEEN)
+    own = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))  # kernels misread some casts of slices, so not a slice
+    lists = pc.split_pattern_regex(pc.ascii_lower(own), BETWEEN)
     flat, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
     full = pc.greater(pc.binary_length(flat), 0)
     coded, doc = flat.filter(full).dictionary_encode(), doc[full.to_numpy(zero_copy_only=False)]
