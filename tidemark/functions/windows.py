@@ -44,13 +44,17 @@ def ewms(df: DataFrame, *means: tuple[Column, str, float]) -> DataFrame:
     x, seen, w, y, ends = ([f"__{k}{i}" for i in range(len(means))] for k in "xswye")
     q = [F.lit(1.0 - alpha) for _, _, alpha in means]
     df = df.withColumns({"__i": F.row_number().over(by_symbol()) - 1} | {x[i]: m[0] for i, m in enumerate(means)})
+    df = df.withColumn("__b", F.floor(F.col("__i") / BLOCK))
+    # Blocks rise with the date, so windows by symbol in the order of (block, date) are windows by date that need no other sort
+    # than the windows within a block.
     here, inside = F.pmod("__i", F.lit(BLOCK)).cast("double"), Window.partitionBy("symbol", "__b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"__b": F.floor(F.col("__i") / BLOCK)} | {s: F.count(c).over(so_far()) for s, c in zip(seen, x, strict=True)})
+    whole = Window.partitionBy("symbol").orderBy("__b", "date")
+    df = df.withColumns({s: F.count(c).over(whole.rowsBetween(Window.unboundedPreceding, 0)) for s, c in zip(seen, x, strict=True)})
     scaled = lambda i: F.when(F.col(seen[i]) == 1, F.col(x[i])).otherwise(F.col(x[i]) * means[i][2]) * F.pow(q[i], -here)
     df = df.withColumns({c: scaled(i) for i, c in enumerate(w)})
     df = df.withColumns({y[i]: F.sum(w[i]).over(inside) for i in range(len(means))})
     df = df.withColumns({y[i]: F.coalesce(F.pow(q[i], here) * F.col(y[i]), F.lit(0.0)) for i in range(len(means))})
-    before = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({ends[i]: F.collect_list(F.when(here == BLOCK - 1, F.col(y[i]))).over(before) for i in range(len(means))})
     carried = lambda i: F.aggregate(ends[i], F.lit(0.0), lambda s, end: s * F.pow(q[i], F.lit(float(BLOCK))) + end)
     df = df.withColumns({m[1]: F.when(F.col(x[i]).isNotNull(), F.col(y[i]) + F.pow(q[i], here + 1) * carried(i)) for i, m in enumerate(means)})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_symbol
+from tidemark.operators.monitor import with_below
 
 
 def lead(c: str, n: int) -> Column:
@@ -75,13 +76,33 @@ def is_train(key: Column, parts: int = 5) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint"), F.lit(parts)) != 0
 
 
+def stratified_split(df: DataFrame, label: str, key: Column, share: float = 0.8) -> DataFrame:
+    """train: true for the first floor(share * n) of each class's n rows, by the order of a hash of key.
+
+    The split is the same on every run and exact in each class. A row's place is a sum over blocks of hashes, so no task
+    orders a whole class. Rows with equal keys go to one side together; rows without a label have no side.
+    """
+    order = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+    rows = df.withColumn("__hash", order)
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label"), F.col("__hash").alias("__at")).agg(F.count("*").alias("__n"))
+    total = counts.groupBy(F.col("__label").alias("__of")).agg(F.sum("__n").alias("__all"))  # a row a class
+    placed = with_below(counts, "__label", "__at", ["__n"]).join(total, F.col("__label") == F.col("__of"))
+    placed = placed.select("__label", "__at", (F.col("below___n") < F.floor(F.col("__all") * share)).alias("train"))
+    same = (F.col(label) == F.col("__label")) & (F.col("__hash") == F.col("__at"))
+    return rows.join(placed, same, "left").drop("__hash", "__label", "__at")
+
+
+def scaling(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean, deviation): of the population, nulls as 0; a deviation of 0 or none is 1."""
+    each = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.nullif(F.stddev_pop(x), F.lit(0.0)), F.lit(1.0)).alias("deviation")) for c, x in ((c, F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns)]
+    return df.agg(F.array(*each).alias("all")).select(F.inline("all"))
+
+
 def scale(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
     """columns less their mean over their population deviation, both of the training rows; nulls count as 0."""
     df = df.na.fill(0.0, subset=columns)
-    fit = df.filter(train).agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
-    first = fit.first()  # two numbers a column
-    m, s = {c: first[f"__m_{c}"] or 0.0 for c in columns}, {c: first[f"__s_{c}"] or 1.0 for c in columns}
-    return df.withColumns({c: (F.col(c) - F.lit(m[c])) / F.lit(s[c]) for c in columns})
+    fit = {r["feature"]: r for r in scaling(df.filter(train), columns).collect()}  # two numbers a column
+    return df.withColumns({c: (F.col(c) - F.lit(fit[c]["mean"])) / F.lit(fit[c]["deviation"]) for c in columns})
 
 
 def time_split(df: DataFrame, share: float = 0.8) -> DataFrame:

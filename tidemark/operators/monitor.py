@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,15 @@ def with_below(df: DataFrame, key: str, value: str, counts: list[str], blocks: i
     return df.withColumns({f"below_{c}": F.col(f"__{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in counts}).drop("__block", "__of", "__key", *(f"__{c}" for c in counts))
 
 
-def quantile_edges(rows: DataFrame, bins: int) -> DataFrame:
-    """(feature, e): the exact quantiles 0, 1/bins, ..., 1 of each feature's x, interpolated, equal ones once."""
-    counts = with_below(rows.groupBy("feature", "x").agg(F.count("*").alias("n")), "feature", "x", ["n"])
-    total = rows.groupBy(F.col("feature").alias("__feature")).agg(F.count("*").alias("all"))
+def quantiles(rows: DataFrame, bins: int) -> DataFrame:
+    """(feature, e): the exact quantiles 0, 1/bins, ..., 1 of each feature's x, interpolated, as structs (i, x)."""
+    return quantiles_of(rows.groupBy("feature", "x").agg(F.count("*").alias("n")), bins)
+
+
+def quantiles_of(values: DataFrame, bins: int) -> DataFrame:
+    """The same of distinct values (feature, x) that stand for n rows each."""
+    counts = with_below(values, "feature", "x", ["n"])
+    total = values.groupBy(F.col("feature").alias("__feature")).agg(F.sum("n").alias("all"))
     counts = counts.join(total, F.col("feature") == F.col("__feature"))
     place = lambda i: (F.col("all") - 1) * i / F.lit(bins)
     holds = lambda at: (at >= F.col("below_n")) & (at < F.col("below_n") + F.col("n"))
@@ -39,8 +44,12 @@ def quantile_edges(rows: DataFrame, bins: int) -> DataFrame:
     share = F.max(place(F.col("i")) - F.floor(place(F.col("i"))))
     ends = met.groupBy("feature", "i").agg(F.max(F.when(holds(F.floor(place(F.col("i")))), F.col("x"))).alias("lo"), F.max(F.when(holds(F.ceil(place(F.col("i")))), F.col("x"))).alias("hi"), share.alias("s"))
     edge = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((1 - F.col("s")) * F.col("lo") + F.col("s") * F.col("hi"))
-    held = ends.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", edge.alias("x")))).alias("e"))  # bins + 1 a feature
-    return held.select("feature", F.array_distinct(F.col("e.x")).alias("e"))
+    return ends.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("i", edge.alias("x")))).alias("e"))  # bins + 1 a feature
+
+
+def quantile_edges(rows: DataFrame, bins: int) -> DataFrame:
+    """(feature, e): the quantiles of each feature, equal ones once."""
+    return quantiles(rows, bins).select("feature", F.array_distinct(F.col("e.x")).alias("e"))
 
 
 def psi(baseline: DataFrame, current: DataFrame, columns: list[str], bins: int = 10, eps: float = 1e-8) -> DataFrame:
@@ -98,13 +107,37 @@ def topk_return(df: DataFrame, k: int) -> DataFrame:
 
 
 def alerts(stability: DataFrame, metrics: DataFrame, last: DataFrame, psi_limit: float = 0.1, drop: float = 0.2) -> DataFrame:
-    """(kind, name, value): unstable features, and models whose precision fell by `drop` of the last one or more."""
+    """(kind, name, value): unstable features, and models whose precision fell by `drop` of the last one or more. last is what
+    MetricHistory has of the run before; a model without any has no such alert."""
     a = stability.filter(F.col("psi") >= psi_limit).select(F.lit("psi").alias("kind"), F.col("feature").alias("name"), F.col("psi").alias("value"))
-    both = metrics.join(last.withColumnRenamed("precision", "before"), "model")
+    both = metrics.join(last.select("model", F.col("precision").alias("before")), "model").filter("before > 0")
     b = both.withColumn("fall", F.try_divide(F.col("before") - F.col("precision"), F.col("before"))).filter(F.col("fall") >= drop)
     return a.unionByName(b.select(F.lit("precision").alias("kind"), F.col("model").alias("name"), F.col("fall").alias("value")))
 
 
+class MetricHistory:
+    """Metrics (model, metric, value) kept by run, a folder a run; a run's name sorts by age."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def store(self, run: str, metrics: DataFrame, metric: str) -> None:
+        """metrics: (model, <metric>). A run that is stored again replaces itself."""
+        rows = metrics.select("model", F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"), F.lit(run).alias("run"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "run").parquet(self.path)
+
+    def before(self, run: str, metric: str) -> DataFrame:
+        """(model, <metric>, run) of each model's newest run before this one that has a value; folders of other metrics and later
+        runs are not read. Nothing where no run is stored yet."""
+        schema = "model string, value double, metric string, run string"
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        stored = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        rows = self.spark.read.schema(schema).parquet(self.path) if stored else self.spark.createDataFrame([], schema)
+        older = rows.filter((F.col("metric") == metric) & (F.col("run") < run) & F.col("value").isNotNull())
+        newest = older.groupBy("model").agg(F.max_by(F.struct("value", "run"), "run").alias("r"))
+        return newest.select("model", F.col("r.value").alias(metric), F.col("r.run").alias("run"))
+
+
 def coverage(df: DataFrame) -> DataFrame:
     """(total, labelled, status)."""
     g = df.agg(F.count("*").alias("total"), F.count("label").alias("labelled"))

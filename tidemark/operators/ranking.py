@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import monitor as mo
+
 #: The fields a quarter must have to count as full, the weights of the score, floors.
 REQUIRED = ("ebit", "totalAssets", "totalCurrentAssets", "totalCashFromOperatingActivities", "netIncome", "EnterpriseValueRevenue", "RevenueTTM", "MarketCapitalization")
 WEIGHTS = {"roic": 0.4, "yield": 0.5, "quality": 0.1}
@@ -151,14 +153,38 @@ def with_prior_ranks(df: DataFrame, prior: DataFrame) -> DataFrame:
     return df.join(wide, "symbol", "left")
 
 
-def profile(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
-    """(name, value, n, nulls, n_distinct): the most frequent values of each column, by count and value."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
-    counts = long.groupBy("name", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("name")
-    place = F.row_number().over(w.orderBy(F.col("value").isNull(), F.desc("n"), "value"))
-    out = counts.withColumn("nulls", F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).over(w)).withColumn("n_distinct", F.count("value").over(w)).withColumn("place", place)
-    return out.filter((F.col("place") <= top) & F.col("value").isNotNull()).drop("place")
+QUARTILES = ("min", "25%", "50%", "75%", "max")
+
+
+def profile(df: DataFrame, columns: list[str], top: int = 20, few: int = 50) -> DataFrame:
+    """(name, item, n, x, nulls, n_distinct) of columns. One of at most `few` distinct values has its `top` most frequent values as
+    items, with their counts n; a numeric one of more is described (items count, mean, std, min, quartiles, max, as x); a text
+    of more has its most frequent value.
+
+    All of it starts from counts by value. The most frequent ones are found in each task before they are compared, and
+    quantiles come from sums over blocks of values, so no task holds all values of a column.
+    """
+    numeric = [c for c, kind in df.dtypes if c in columns and kind.split("(")[0] in {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}]
+    values = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("v")) for c in columns]
+    counts = df.select(F.explode(F.array(*values)).alias("r")).select("r.*").groupBy("name", "value", "v").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("name").agg(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"), F.count("value").alias("n_distinct"))
+    known = counts.filter("value is not null").join(F.broadcast(totals), "name")  # a row a column
+    many = F.col("n_distinct") > few
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
+    frequent = known.filter(~many | ~F.col("name").isin(numeric)).withColumn("place", place).filter(F.col("place") <= top).filter(~many | (F.col("place") == 1))
+    frequent = frequent.select("name", F.col("value").alias("item"), "n", F.lit(None).cast("double").alias("x"), "nulls", "n_distinct")
+    if not numeric:
+        return frequent
+    wide = known.filter(many & F.col("name").isin(numeric))
+    rows = F.sum("n")
+    mean = F.sum(F.col("v") * F.col("n")) / rows
+    sums = wide.groupBy("name").agg(rows.alias("count"), mean.alias("mean"))
+    spread = wide.join(F.broadcast(sums.select("name", "mean", "count")), "name").groupBy("name").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("mean"), F.lit(2.0)) * F.col("n")) / (F.max("count") - 1)).alias("std"))
+    edges = mo.quantiles_of(wide.select(F.col("name").alias("feature"), F.col("v").alias("x"), "n"), len(QUARTILES) - 1).withColumnRenamed("feature", "name")
+    item = lambda name, x: F.struct(F.lit(name).alias("item"), x.cast("double").alias("x"))
+    items = [item("count", F.col("count")), item("mean", F.col("mean")), item("std", F.col("std")), *(item(q, F.col("e")[i]["x"]) for i, q in enumerate(QUARTILES))]
+    described = sums.join(spread, "name").join(edges, "name").select("name", F.inline(F.array(*items))).join(F.broadcast(totals), "name")
+    return frequent.unionByName(described.select("name", "item", F.lit(None).cast("bigint").alias("n"), "x", "nulls", "n_distinct"))
 
 
 def label_counts(df: DataFrame, c: str) -> DataFrame:
@@ -169,3 +195,26 @@ def rule_checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations): rows for which a rule does not hold; one pass over df."""
     sums = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(True))).alias(n) for n, ok in rules.items()])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])).alias("x")).select("x.*")
+
+
+#: Fixed values of the snapshot's vocabulary.
+PRIMARY = ("Bull", "Bear", "Neutral")
+SECONDARY = ("PullbackInBull", "TrendingUp", "PullbackInBear", "TrendingDown", "Unknown", "Volatile", "ShortTrend", "Ranging")
+REVERSALS = ("NoReversal", *(f"{side}Reversal{form}{grade}" for side in ("Bullish", "Bearish") for form in ("", "-ML") for grade in ("Weak", "Moderate", "Strong")), "0", "0.0")
+
+
+def snapshot_rules(columns: list[str]) -> dict[str, Column]:
+    """The rules of a snapshot that has these columns; a null keeps every rule."""
+    label = lambda c: F.trim(F.col(c).cast("string"))
+    first, second = F.regexp_extract("Trend", r"^([^\[]*)", 1), F.regexp_extract("Trend", r"\[([^\]]+)\]", 1)
+    rules = {f"{c}_range": (c, F.col(c).between(-4, 4)) for c in ("SignalClassifier_ML", "SignalClassifier_Rules")}
+    rules |= {"Trend_format": ("Trend", F.col("Trend").rlike(r"^\w+\[\w+\]$")), "Trend_primary": ("Trend", first.isin(*PRIMARY)), "Trend_secondary": ("Trend", (second == "") | second.isin(*SECONDARY))}
+    rules |= {f"{c}_label": (c, label(c).isin(*REVERSALS)) for c in ("TrendReversal_Rules", "TrendReversal_ML")}
+    rules |= {"TMA21_50_X_value": ("TMA21_50_X", F.col("TMA21_50_X").isin(-1, 0, 1)), "RSIUpTrend_value": ("RSIUpTrend", F.lower(label("RSIUpTrend")).isin("0", "1", "true", "false")), "ADX_range": ("ADX", F.col("ADX").between(0, 100))}
+    rules |= {f"{c}_range": (c, F.col(c).between(-100, 1000)) for c in ("Pct2H52", "PctfL52")}
+    return {name: ok for name, (c, ok) in rules.items() if c in columns}
+
+
+def check_snapshot(df: DataFrame) -> DataFrame:
+    """(rule, violations) for the rules of the columns that df has."""
+    return rule_checks(df, snapshot_rules(df.columns))

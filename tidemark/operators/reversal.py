@@ -10,29 +10,45 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 
 EPS = 1e-9
+SLOPE_BARS = 10
+
+
+CAP = 200  # bars that a tolerant run goes back at most
+SIDES = {"bull": ("up", "down"), "bear": ("down", "up")}  # the latest run and the one before it
 
 
 def detector_panel(df: DataFrame) -> DataFrame:
-    """Bars with the detector's indicators, runs and running sums."""
+    """Bars with the detector's indicators, their runs, and for each side what the candidate at a bar reads of earlier bars.
+
+    A candidate's latest run stops at p1, the last bar of the run before it, which in turn stops at the bar before p0. Each
+    value at p1, p0 and the bars next to them is carried along the symbol's bars with the runs (at_stop), the second kind
+    within the first, so all of it is windows of one order: no bar is looked up by number.
+    """
     df = ema(ind.mfi(ind.obv(ind.atr(ind.directional(ind.macd(ind.rsi_simple(df, out="rsi")))))), "close", 8, "ema8")
-    df = tr.reversal_runs(df)
+    df = tr.reversal_runs(df, keep_flags=True)
     i, c, v = F.col("idx").cast("double"), F.col("close"), F.col("volume").cast("double")
     sums = {"s_c": F.sum(c), "s_ic": F.sum(i * c), "s_v": F.sum(v), "s_above": F.sum((F.col("macd") > F.col("macd_signal")).cast("int"))}
     df = df.withColumns({k: x.over(so_far()) for k, x in sums.items()})
-    return df.withColumn("hist_step", F.col("macd_hist") - lag("macd_hist")).withColumn("vol20", F.avg(v).over(rows(20))).withColumn("ema8_3", lag("ema8", 3))
-
-
-def candidates(df: DataFrame, side: str) -> DataFrame:
-    """Rows whose tolerant runs make a candidate: a prior run of at least 5 bars against a shorter latest one. Adds the
-    runs' bounds: prior_len, latest_len, p0 (first bar of the prior run), p1 (its last), and l0 (first of the latest)."""
+    df = df.withColumns({"hist_step": F.col("macd_hist") - lag("macd_hist"), "vol20": F.avg(v).over(rows(20)), "ema8_3": lag("ema8", 3)})
+    # Sums before the last slope_bars bars: a bounded list, as the bar that is meant depends on the run's length.
+    df = df.withColumns({"__obv1": F.lead("obv").over(by_symbol()), "__adx1": F.lead("adx").over(by_symbol()), "__sums": F.collect_list(F.struct("s_c", "s_ic")).over(rows(SLOPE_BARS + 1))})
+    for side, (now, before) in SIDES.items():
+        older = {f"{side}_pre_price": "close", f"{side}_v_before": "s_v", f"{side}_obv_p0": "__obv1", f"{side}_adx_p0": "__adx1"}
+        df = tr.at_stop(df, before, CAP, {f"__{k}": x for k, x in older.items()})
+        at = F.size("__sums") - 1 - F.least(F.lit(SLOPE_BARS), F.col(f"{before}_n"))
+        df = df.withColumn("__w", F.when(at >= 0, F.get("__sums", at.cast("int"))))
+        df = df.withColumns({"__w_c": F.coalesce("__w.s_c", F.lit(0.0)), "__w_ic": F.coalesce("__w.s_ic", F.lit(0.0))})
+        newer = {"end_price": "close", "end_c": "s_c", "end_ic": "s_ic", "v_p1": "s_v", "above_p1": "s_above", "obv_l0": "__obv1", "w_c": "__w_c", "w_ic": "__w_ic"}
+        df = tr.at_stop(df, now, CAP, {f"{side}_{k}": x for k, x in newer.items()} | {k: f"__{k}" for k in older})
+        df = tr.since_stop(df, now, CAP, "hist_step", f"{side}_step_lo", f"{side}_step_hi", skip=1)
+        df = df.drop("__w", "__w_c", "__w_ic", *(f"__{k}" for k in older))
+    return df.drop("__obv1", "__adx1", "__sums", *tr.flags("up", "down"))
+
+
+def is_candidate(side: str) -> Column:
+    """A prior run of at least 5 bars against a shorter latest one."""
     now, before = ("up", "prior_down") if side == "bull" else ("down", "prior_up")
-    kept = df.filter((F.col(f"{before}_n") >= 5) & (F.col(f"{now}_n") >= 1) & (F.col(f"{before}_n") > F.col(f"{now}_n")) & (F.col("idx") >= 29))
-    return kept.withColumn("prior_len", F.col(f"{before}_n")).withColumn("latest_len", F.col(f"{now}_n")).withColumn("p1", F.col(f"{now}_stop")).withColumn("p0", F.col(f"{before}_stop") + 1).withColumn("l0", F.col(f"{now}_stop") + 1)
-
-
-def _lookup(rows_: DataFrame, panel: DataFrame, index: Column, names: dict[str, str]) -> DataFrame:
-    other = panel.select(F.col("symbol").alias("__sym"), F.col("idx").alias("__at"), *(F.col(c).alias(n) for n, c in names.items()))
-    return rows_.withColumn("__want", index).join(other, (F.col("symbol") == F.col("__sym")) & (F.col("__want") == F.col("__at")), "left").drop("__sym", "__at", "__want")
+    return (F.col(f"{before}_n") >= 5) & (F.col(f"{now}_n") >= 1) & (F.col(f"{before}_n") > F.col(f"{now}_n")) & (F.col("idx") >= 29)
 
 
 def _slope(n: Column, first: Column, s: Column, si: Column) -> Column:
@@ -41,78 +57,84 @@ def _slope(n: Column, first: Column, s: Column, si: Column) -> Column:
     return F.coalesce(F.try_divide(si - mean * s, n * (n * n - 1) / 12.0), F.lit(0.0))
 
 
-def pattern_scores(panel: DataFrame, side: str, min_move: float = 0.03, slope_bars: int = 10) -> DataFrame:
-    """Candidates with pattern_score: 0.45 time, 0.35 magnitude, 0.20 acceleration; 0 below the least prior move.
-
-    Closes and sums at the bounds come by equi-joins on the bar's number."""
-    c = candidates(panel, side)
-    z = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    c = _lookup(c, panel, F.greatest(F.col("p0") - 1, F.lit(0)), {"pre_price": "close"})
-    c = _lookup(c, panel, F.col("p1"), {"end_price": "close", "end_c": "s_c", "end_ic": "s_ic"})
-    w = F.least(F.lit(slope_bars), F.col("prior_len"))
-    c = c.withColumn("w0", F.greatest(F.col("p1") - w + 1, F.lit(0)))
-    c = _lookup(c, panel, F.col("w0") - 1, {"before_c": "s_c", "before_ic": "s_ic"})
-    prior_move = (F.col("end_price") - F.col("pre_price")) / (F.col("pre_price") + EPS)
-    latest_move = (F.col("close") - F.col("end_price")) / (F.col("end_price") + EPS)
-    sign = -1 if side == "bull" else 1
-    prior, latest = sign * prior_move, -sign * latest_move
-    n1 = F.col("p1") - F.col("w0") + 1
-    prior_slope = _slope(n1, F.col("w0"), F.col("end_c") - z("before_c"), F.col("end_ic") - z("before_ic"))
-    n2 = F.col("idx") - F.col("l0") + 1
-    latest_slope = _slope(n2, F.col("l0"), F.col("s_c") - F.col("end_c"), F.col("s_ic") - F.col("end_ic"))
-    time = (F.col("prior_len") - F.col("latest_len")) / (F.col("prior_len") + EPS)
-    unit = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
-    magnitude = 1 - unit(latest / (latest + prior + EPS))
-    change = (latest_slope - prior_slope) * -sign
-    accel = unit((F.tanh(change / (F.abs(prior_slope) + EPS)) + 1) / 2)
-    score = F.when(prior < min_move, 0.0).otherwise(unit(0.45 * time + 0.35 * magnitude + 0.20 * accel))
-    return c.withColumn("pattern_score", score)
-
-
-def confirmation_scores(panel: DataFrame, side: str, max_atr: float = 0.12) -> DataFrame:
-    """Candidates of a positive pattern score with confirm_score; the momentum, mean and volume tests are the same for
-    either side."""
-    c = pattern_scores(panel, side).filter("pattern_score > 0")
-    c = _lookup(c, panel, F.col("p0"), {"obv_p0": "obv", "adx_p0": "adx"})
-    c = _lookup(c, panel, F.col("p0") - 1, {"v_before": "s_v"})
-    c = _lookup(c, panel, F.col("p1"), {"v_p1": "s_v", "above_p1": "s_above"})
-    c = _lookup(c, panel, F.col("l0"), {"obv_l0": "obv"})
-    steps = c.filter("idx > l0").select("symbol", "date", F.explode(F.sequence(F.col("l0") + 1, F.col("idx"))).alias("at"))
-    bars = panel.select("symbol", F.col("idx").alias("at"), "hist_step")
-    span = steps.join(bars, ["symbol", "at"]).groupBy("symbol", "date").agg(F.min("hist_step").alias("step_lo"), F.max("hist_step").alias("step_hi"))
-    c = c.join(span, ["symbol", "date"], "left")
-    unit = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+def _bounds(side: str) -> dict[str, Column]:
+    """prior_len, latest_len, p0 (first bar of the prior run), p1 (its last), and l0 (first of the latest)."""
+    now, before = ("up", "prior_down") if side == "bull" else ("down", "prior_up")
+    stop = F.col(f"{now}_stop")
+    return {"prior_len": F.col(f"{before}_n"), "latest_len": F.col(f"{now}_n"), "p1": stop, "p0": F.col(f"{before}_stop") + 1, "l0": stop + 1}
+
+
+def _unit(x: Column) -> Column:
+    return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+
+
+def pattern_scores(df: DataFrame, min_move: float = 0.03) -> DataFrame:
+    """Adds {side}_pattern: 0.45 time, 0.35 magnitude, 0.20 acceleration; 0 below the least prior move; null where there is no
+    candidate. Needs detector_panel."""
+    for side in SIDES:
+        v, b = (lambda x, side=side: F.col(f"{side}_{x}")), _bounds(side)
+        prior_move = (v("end_price") - v("pre_price")) / (v("pre_price") + EPS)
+        latest_move = (F.col("close") - v("end_price")) / (v("end_price") + EPS)
+        sign = -1 if side == "bull" else 1
+        w0 = F.greatest(b["p1"] - F.least(F.lit(SLOPE_BARS), b["prior_len"]) + 1, F.lit(0))
+        prior_slope = _slope(b["p1"] - w0 + 1, w0, v("end_c") - v("w_c"), v("end_ic") - v("w_ic"))
+        latest_slope = _slope(F.col("idx") - b["l0"] + 1, b["l0"], F.col("s_c") - v("end_c"), F.col("s_ic") - v("end_ic"))
+        df = df.withColumns({"__prior": sign * prior_move, "__latest": -sign * latest_move, "__s1": prior_slope, "__s2": latest_slope})
+        prior, latest = F.col("__prior"), F.col("__latest")
+        time = (b["prior_len"] - b["latest_len"]) / (b["prior_len"] + EPS)
+        magnitude = 1 - _unit(latest / (latest + prior + EPS))
+        change = (F.col("__s2") - F.col("__s1")) * -sign
+        accel = _unit((F.tanh(change / (F.abs("__s1") + EPS)) + 1) / 2)
+        score = F.when(is_candidate(side), F.when(prior < min_move, 0.0).otherwise(_unit(0.45 * time + 0.35 * magnitude + 0.20 * accel)))
+        df = df.withColumn(f"{side}_pattern", score).drop("__prior", "__latest", "__s1", "__s2")
+    return df
+
+
+def confirm_score(side: str, market: Column | None = None, max_atr: float = 0.12) -> Column:
+    """The confirmation of a candidate; the momentum, mean and volume tests are the same for either side. market is the
+    factor of the market's regime, 1 if not given. Needs detector_panel."""
+    v, b = (lambda x: F.col(f"{side}_{x}")), _bounds(side)
     least0 = lambda x: F.greatest(F.lit(0.0), x)
     rsi, px = F.col("rsi"), F.col("close")
     bull = side == "bull"
     rsi_ok = F.when(rsi <= 35, 1.0).otherwise(least0((42.0 - rsi) / (42.0 + EPS))) if bull else F.when(rsi >= 65, 1.0).otherwise(least0((rsi - 52.0) / (48.0 + EPS)))
-    last_step = F.when(F.col("idx") > F.col("l0"), F.col("hist_step")).otherwise(0.0)
-    lo, hi = F.least(F.coalesce("step_lo", F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce("step_hi", F.lit(0.0)), F.lit(0.0))
-    macd_ok = F.when(F.col("s_above") - F.col("above_p1") > 0, 1.0).otherwise(unit((last_step - lo) / (F.abs(hi) + EPS)))
-    prior_n, latest_n = F.col("p1") - F.col("p0") + 1, F.col("idx") - F.col("l0") + 1
-    v_prior, v_latest = (F.col("v_p1") - F.coalesce("v_before", F.lit(0.0))) / prior_n, (F.col("s_v") - F.col("v_p1")) / latest_n
-    ratio = unit(((v_latest + EPS) / (v_prior + EPS) - 0.75) / 2.25)
-    obv_ok = F.when(F.col("obv") > F.col("obv_l0"), 1.0).otherwise(least0((F.col("obv") - F.col("obv_p0")) / (F.abs("obv_p0") + EPS)))
+    last_step = F.when(F.col("idx") > b["l0"], F.col("hist_step")).otherwise(0.0)
+    lo, hi = F.least(F.coalesce(v("step_lo"), F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce(v("step_hi"), F.lit(0.0)), F.lit(0.0))
+    macd_ok = F.when(F.col("s_above") - v("above_p1") > 0, 1.0).otherwise(_unit((last_step - lo) / (F.abs(hi) + EPS)))
+    prior_n, latest_n = b["p1"] - b["p0"] + 1, F.col("idx") - b["l0"] + 1
+    v_prior, v_latest = (v("v_p1") - v("v_before")) / prior_n, (F.col("s_v") - v("v_p1")) / latest_n
+    ratio = _unit(((v_latest + EPS) / (v_prior + EPS) - 0.75) / 2.25)
+    obv_ok = F.when(F.col("obv") > v("obv_l0"), 1.0).otherwise(least0((F.col("obv") - v("obv_p0")) / (F.abs(v("obv_p0")) + EPS)))
     e = F.col("ema8")
     ema_ok = F.when((px > e) & (e > F.col("ema8_3")), 1.0).otherwise(least0((px - e) / (e + EPS)))
-    adx, adx0 = F.col("adx"), F.col("adx_p0")
-    adx_ok = F.when(adx < adx0, unit((adx0 - adx) / (adx0 + EPS))).when(adx < 25, 1.0).otherwise(least0((40 - adx) / 15))
+    adx, adx0 = F.col("adx"), v("adx_p0")
+    adx_ok = F.when(adx < adx0, _unit((adx0 - adx) / (adx0 + EPS))).when(adx < 25, 1.0).otherwise(least0((40 - adx) / 15))
     mfi = F.col("mfi")
     mfi_ok = F.when(mfi <= 40, 1.0).otherwise(least0((45 - mfi) / 15)) if bull else F.when(mfi >= 60, 1.0).otherwise(least0((mfi - 55) / 15))
     atr_pct = F.col("atr") / (px + EPS)
     atr_ok = F.when(atr_pct <= max_atr, 1.0).otherwise(least0((max_atr * 1.5 - atr_pct) / (max_atr * 1.5)))
-    market = F.coalesce(F.col("market_factor"), F.lit(1.0)) if "market_factor" in c.columns else F.lit(1.0)
-    total = 0.20 * rsi_ok + 0.20 * macd_ok + 0.18 * (0.6 * ratio + 0.4 * obv_ok) + 0.12 * ema_ok + 0.08 * adx_ok + 0.07 * mfi_ok + 0.05 * atr_ok + 0.05 * market + 0.03
-    return c.withColumn("confirm_score", unit(total))
+    regime = F.lit(1.0) if market is None else F.coalesce(market, F.lit(1.0))
+    total = 0.20 * rsi_ok + 0.20 * macd_ok + 0.18 * (0.6 * ratio + 0.4 * obv_ok) + 0.12 * ema_ok + 0.08 * adx_ok + 0.07 * mfi_ok + 0.05 * atr_ok + 0.05 * regime + 0.03
+    return F.when(is_candidate(side), _unit(total))
+
+
+def scored(panel: DataFrame, market: Column | None = None) -> DataFrame:
+    """Adds {side}_pattern and {side}_confirm to detector_panel's bars."""
+    return pattern_scores(panel).withColumns({f"{side}_confirm": confirm_score(side, market) for side in SIDES})
+
+
+def side_scores(panel: DataFrame, market: Column | None = None) -> DataFrame:
+    """(symbol, date, side, pattern_score, confirm_score): a row for each candidate of each side."""
+    each = [F.struct(F.lit(side).alias("side"), F.col(f"{side}_pattern").alias("pattern_score"), F.col(f"{side}_confirm").alias("confirm_score")) for side in SIDES]
+    return scored(panel, market).select("symbol", "date", F.inline(F.array(*each))).filter("pattern_score is not null")
 
 
-def reversal_labels(panel: DataFrame) -> DataFrame:
+def reversal_labels(panel: DataFrame, market: Column | None = None) -> DataFrame:
     """(symbol, date, bull_score, bear_score, direction, strength, reversal) for every bar: the larger product of pattern
     and confirmation, bull on ties; NoReversal below 0.20."""
-    out = panel.select("symbol", "date", "close", "atr", "vol20")
-    for side in ("bull", "bear"):
-        s = confirmation_scores(panel, side).select("symbol", "date", (F.col("pattern_score") * F.col("confirm_score")).alias(f"{side}_score"))
-        out = out.join(s, ["symbol", "date"], "left")
+    product = {f"{side}_score": F.when(F.col(f"{side}_pattern") > 0, F.col(f"{side}_pattern") * F.col(f"{side}_confirm")) for side in SIDES}
+    # As the fields of a one-row generator the scores are computed once; else each use and filter below would repeat them.
+    out = scored(panel, market).select("symbol", "date", "close", "atr", "vol20", F.inline(F.array(F.struct(*(x.alias(k) for k, x in product.items())))))
     b, r = F.coalesce("bull_score", F.lit(0.0)), F.coalesce("bear_score", F.lit(0.0))
     best = F.greatest(b, r)
     strength = F.when(best >= 0.70, "Strong").when(best >= 0.45, "Moderate").when(best >= 0.20, "Weak")

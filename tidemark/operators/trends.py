@@ -40,17 +40,22 @@ def _with_prior(df: DataFrame, run: str) -> DataFrame:
     of that run's last bars, as many as it is long. Needs __new and __isl, which go.
 
     Where no bar of the run was passed over, that bar is the last before the run, so its values are taken along from the
-    run's first bar; else it lies within the run and prior is the run itself.
+    run's first bar; else it lies within the run and prior is the run itself. Closes do not turn within a run, so the last bars'
+    extremes are the close at its end and the one at their first bar, whose place is known once the run is whole.
     """
-    df = df.withColumns({"__n": F.count("*").over(in_run()), "__closes": F.collect_list(F.struct("close")).over(in_run())})
-    long, passed = F.abs(run), F.col("__n") - F.abs(run)
-    own = F.slice("__closes", (passed + 1).cast("int"), long)["close"]
-    df = df.withColumn("__e", F.struct(F.col(run).alias("run"), F.array_max(own).alias("hi"), F.array_min(own).alias("lo")))
+    whole_run = Window.partitionBy("symbol", "__isl")
+    df = df.withColumn("__n", F.count("*").over(in_run()))
+    passed = F.col("__n") - F.abs(run)
+    df = df.withColumn("__passed", passed).withColumn("__all_passed", F.max("__passed").over(whole_run))
+    df = df.withColumn("__edge", F.max(F.when(F.col("__n") == F.col("__all_passed") + 1, F.col("close"))).over(whole_run))
+    up, some = F.col(run) > 0, F.col(run) != 0
+    hi, lo = F.when(some, F.when(up, F.col("close")).otherwise(F.col("__edge"))), F.when(some, F.when(up, F.col("__edge")).otherwise(F.col("close")))
+    df = df.withColumn("__e", F.struct(F.col(run).alias("run"), hi.alias("hi"), lo.alias("lo")))
     df = df.withColumn("__before", lag("__e"))
     df = df.withColumn("__p", F.last(F.when(F.col("__new") == 1, F.col("__before")), ignorenulls=True).over(so_far()))
     whole = passed == 0
     df = df.withColumns({"prior": F.when(whole, F.col("__p.run")).otherwise(F.col(run)), "prior_high": F.when(whole, F.col("__p.hi")), "prior_low": F.when(whole, F.col("__p.lo"))})
-    return df.drop("__n", "__closes", "__e", "__before", "__p", "__new", "__isl")
+    return df.drop("__n", "__passed", "__all_passed", "__edge", "__e", "__before", "__p", "__new", "__isl")
 
 
 def last_run_flat_up(df: DataFrame, out: str = "run_flat_up") -> DataFrame:
@@ -120,20 +125,49 @@ def at_stop(df: DataFrame, name: str, cap: int, values: dict[str, str]) -> DataF
     return df.withColumns({n: F.col(f"__v.{n}") for n in values}).drop("__v", "__v0", "__vs", "__vh", "__vc", "__v2")
 
 
-def _flags(*names: str) -> list[str]:
+def since_stop(df: DataFrame, name: str, cap: int, c: str, low: str, high: str, skip: int = 0) -> DataFrame:
+    """low and high: the extremes of c over the bars after the stop of the tolerant run `name`, less the first `skip` of them.
+
+    For runs without hard bars. Soft bars cut a symbol's bars into stretches, each begun by one. The bars after the stop are
+    the stretch before the last soft bar, less its first bar, and the one that it begins; extremes run along each stretch, and
+    those of a whole stretch are carried on from its last bar. Where `cap` ends the run, a frame of that many bars has
+    them.
+    """
+    i, soft, stop = F.col("idx"), f"__{name}_soft", F.col(f"{name}_stop")
+    df = df.withColumns({"__st": F.count(soft).over(so_far()), "__from": F.coalesce(F.last(soft, ignorenulls=True).over(so_far()), F.lit(0))})
+    inside = Window.partitionBy("symbol", "__st").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    later = i > F.col("__from") + skip
+    extremes = lambda x, w: F.struct(F.min(x).over(w).alias("lo"), F.max(x).over(w).alias("hi"))
+    # The second stretch follows on the first: what is still to be skipped of it depends on where the first began.
+    owed = lambda first: F.greatest(F.lit(0), F.lit(skip + 1) - (F.col("__from") - first))
+    begun = F.coalesce(F.last(F.when(F.col(soft).isNotNull(), F.col("__soft0")), ignorenulls=True).over(so_far()), F.lit(0))
+    df = df.withColumn("__soft0", F.coalesce(F.last(soft, ignorenulls=True).over(past()), F.lit(0))).withColumn("__s2", begun)
+    df = df.withColumn("__own", extremes(F.when(later, F.col(c)), inside))
+    df = df.withColumn("__all", extremes(F.when(i >= F.col("__from") + owed(F.col("__s2")), F.col(c)), inside)).withColumn("__own1", lag("__own"))
+    df = df.withColumn("__before", F.last(F.when(F.col(soft).isNotNull(), F.col("__own1")), ignorenulls=True).over(so_far()))
+    frame = by_symbol().rowsBetween(-(cap - 1 - skip), 0)
+    df = df.withColumn("__cap", extremes(F.when(i > skip, F.col(c)), frame))
+    capped, single = stop > F.col("__s2"), F.col("__st") == 0
+    pick = lambda k, f: F.when(capped, F.col(f"__cap.{k}")).when(single, F.col(f"__own.{k}")).otherwise(f(F.col(f"__before.{k}"), F.col(f"__all.{k}")))
+    df = df.withColumns({low: pick("lo", F.least), high: pick("hi", F.greatest)})
+    return df.drop("__st", "__from", "__soft0", "__s2", "__own", "__own1", "__all", "__before", "__cap")
+
+
+def flags(*names: str) -> list[str]:
     return [f"__{n}_{k}" for n in names for k in ("soft", "hard")]
 
 
-def reversal_runs(df: DataFrame) -> DataFrame:
+def reversal_runs(df: DataFrame, keep_flags: bool = False) -> DataFrame:
     """up_n, up_stop and down_n, down_stop, one bar of any other direction tolerated; prior_down_* at the start of the up
-    run and prior_up_* at the start of the down run."""
+    run and prior_up_* at the start of the down run. Flags stay for at_stop and since_stop if asked for."""
     change = F.col("close") - lag("close")
     df = indexed(df).withColumn("__chg", change)
     up, down = F.coalesce(F.col("__chg") > 0, F.lit(False)), F.coalesce(F.col("__chg") < 0, F.lit(False))
     none = F.lit(False)
     df = tolerant_run(tolerant_run(df, up, ~up, none, "up", 200), down, ~down, none, "down", 200).drop("__chg")
     df = at_stop(df, "up", 200, {"prior_down_n": "down_n", "prior_down_stop": "down_stop"})
-    return at_stop(df, "down", 200, {"prior_up_n": "up_n", "prior_up_stop": "up_stop"}).drop(*_flags("up", "down"))
+    df = at_stop(df, "down", 200, {"prior_up_n": "up_n", "prior_up_stop": "up_stop"})
+    return df if keep_flags else df.drop(*flags("up", "down"))
 
 
 def price_pattern(df: DataFrame, n1: int = 3, d2_max: int = 20, min_up: int = 2, min_down: int = 5, look_back: int = 60) -> DataFrame:
@@ -142,7 +176,7 @@ def price_pattern(df: DataFrame, n1: int = 3, d2_max: int = 20, min_up: int = 2,
     c = F.coalesce(F.col("__chg"), F.lit(0.0))
     up, down, flat = c > 1e-9, c < -1e-9, F.abs(c) < 1e-9
     df = tolerant_run(tolerant_run(df, up, flat, down, "__u", look_back), down, flat, up, "__d", look_back).drop("__chg")
-    df = at_stop(df, "__u", look_back, {"__d2": "__d_n"}).drop(*_flags("__u", "__d"))
+    df = at_stop(df, "__u", look_back, {"__d2": "__d_n"}).drop(*flags("__u", "__d"))
     d1, d2 = F.col("__u_n"), F.coalesce("__d2", F.lit(0))
     hit = (d1 >= min_up) & (d2 >= min_down) & (d2 > d1)
     score = 0.4 * F.greatest(F.lit(0), 100 - 10 * F.abs(d1 - n1)) + 0.6 * F.least(F.lit(100.0), d2 * 100.0 / d2_max)

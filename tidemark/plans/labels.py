@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import indicators as ind
 from tidemark.operators import labels as lb
 from tidemark.operators import monitor as mo
+from tidemark.plans.ingest import scratch
 from tidemark.plans.registry import OVER, Chain, query
 from tidemark.plans.trends import TREND, labelled
 from tidemark.sources.tables import bars_raw, bars_walk
@@ -88,9 +89,16 @@ def k07(spark, path):
     return lb.scale(df, ["close", "volume"], lb.is_train(F.col("symbol"))).select("symbol", "date", F.round("close", 6).alias("close"), F.round("volume", 6).alias("volume"))
 
 
-@query("K09_splits", Chain("bars_walk").sql(f"select symbol, date, {TRAIN.format('symbol')} as hash_train, case when row_number() {OVER} <= floor(count(*) over (partition by symbol) * 0.8) then 'train' else 'test' end as part from {{last}}"))
+SPLITS = Chain("bars_walk", (*BARRIER.steps, ("lab", f"select symbol, date, case when n_ > 0 then case when won_ then 1 when lost_ then 0 else cast(top_ >= 0.08 as integer) end end as label from {BARRIER.last}")))
+HASHED = "cast('0x' || substr(md5(symbol || '|' || cast(date as varchar)), 1, 15) as bigint)"
+
+
+@query("K09_splits", SPLITS.sql(f"select symbol, date, label, case when label is not null then case when row_number() over (partition by label order by {HASHED}) <= floor(count(*) over (partition by label) * 0.8) then 'train' else 'validation' end end as side, case when row_number() {OVER} <= floor(count(*) over (partition by symbol) * 0.8) then 'train' else 'test' end as part from lab"))
 def k09(spark, path):
-    return lb.time_split(bars_walk(spark, path)).select("symbol", "date", lb.is_train(F.col("symbol")).alias("hash_train"), "part")
+    """Four fifths of each class of the barrier labels, and of each symbol's bars by time."""
+    rows = lb.time_split(lb.triple_barrier(bars_walk(spark, path))).select("symbol", "date", F.col("label_success").alias("label"), "part")
+    split = lb.stratified_split(rows, "label", F.concat_ws("|", "symbol", F.col("date").cast("string")))
+    return split.withColumn("side", F.when(F.col("train"), "train").when(~F.col("train"), "validation")).drop("train")
 
 
 PREDICTIONS = Chain("pred", (*BARRIER.steps, ("pred", f"select symbol, date, 'm' || volume % 3 as model, (volume * 7919 + cast(close as bigint)) % 1000 / 1000.0 as score, cast(case when n_ > 0 and volume % 6 <> 5 then case when won_ then 1 when lost_ then 0 else cast(top_ >= 0.08 as integer) end end as integer) as label, case when n_ > 0 then ret_ end as realized_return, close, volume from {BARRIER.last}")))
@@ -179,15 +187,21 @@ def l07(spark, path):
     return mo.topk_return(predictions(spark, path), 100).select("model", F.round("mean_return", 6).alias("mean_return"), F.round("median_return", 6).alias("median_return"))
 
 
-ALERTS = Chain("pred", (*PSI.steps, ("stab", psi_sql(["close", "volume", "drift"], "old", "new")), ("met", CLASS)))
+AT_K = f"select model, sum(label) / 100.0 as precision from (select *, {PLACE} as place from {{0}} where label is not null) where place <= 100 group by model"
+ALERTS = Chain("pred", (*PSI.steps, ("stab", psi_sql(["close", "volume", "drift"], "old", "new")), ("was", AT_K.format("old")), ("met", AT_K.format("new"))))
 
 
-@query("L08_alerts", ALERTS.sql("select 'psi' as kind, feature as name, psi as value from stab where psi >= 0.1 union all select 'precision', model, round(1 - precision / (precision * 1.5), 6) from met where model <> 'm0'"))
+@query("L08_alerts", ALERTS.sql("select 'psi' as kind, feature as name, psi as value from stab where psi >= 0.1 union all select 'precision', model, round((w.precision - m.precision) / w.precision, 6) from met m join was w using (model) where w.precision > 0 and (w.precision - m.precision) / w.precision >= 0.02"))
 def l08(spark, path):
-    stability = mo.psi(*halves(spark, path), ["close", "volume", "drift"]).withColumn("psi", F.round("psi", 6))
-    metrics = mo.classification(predictions(spark, path)).select("model", F.round("precision", 6).alias("precision"))
-    before = metrics.select("model", (F.col("precision") * F.when(F.col("model") == "m0", 1.0).otherwise(1.5)).alias("precision"))
-    return mo.alerts(stability, metrics, before).withColumn("value", F.round("value", 6))
+    """Precision@100 of two runs is stored, the old half of the predictions and the new; the newer run's alerts look the older
+    one up."""
+    old, new = halves(spark, path)
+    history = mo.MetricHistory(spark, scratch(spark, "metrics"))
+    for run, rows in (("19960601T000000", old), ("19991231T000000", new)):
+        history.store(run, mo.precision_at_k(rows, 100), "precision")
+    stability = mo.psi(old, new, ["close", "volume", "drift"]).withColumn("psi", F.round("psi", 6))
+    metrics = mo.precision_at_k(new, 100)
+    return mo.alerts(stability, metrics, history.before("19991231T000000", "precision"), drop=0.02).withColumn("value", F.round("value", 6))
 
 
 @query("L09_coverage", PREDICTIONS.sql("select count(*) as total, count(label) as labelled, case when count(label) = 0 then 'no_labels' when count(label) < count(*) then 'partial' else 'complete' end as status from pred"))

@@ -142,9 +142,27 @@ def d07(spark, path):
     return tables.listings(spark, path).join(F.broadcast(caps), "CountryName", "left").select("symbol", F.coalesce("min_cap_mln", F.lit(1.0)).alias("min_cap_mln"))
 
 
-@query("D09_profile", with_panels("select name, value, n, nulls, n_distinct from (select *, sum(case when value is null then n else 0 end) over (partition by name)::bigint as nulls, count(value) over (partition by name) as n_distinct, row_number() over (partition by name order by value is null, n desc, value) as place from (select name, value, count(*) as n from (select 'currency' as name, currency as value from listings union all select 'Sector', Sector from listings) group by all)) where place <= 20 and value is not null"))
+PROFILED = ("symbol", "close", "volume", "weekly")
+PROFILE_ROWS = "select symbol, close, volume, case when volume % 8 <> 7 then volume % 8 end as weekly from bars_walk"
+
+
+def _profile_sql() -> str:
+    parts = []
+    for c in PROFILED:
+        of = f"(select count(*) filter (where {c} is null) as nulls, count(distinct {c}) as n_distinct from profiled)"
+        text = c == "symbol"
+        top = f"select '{c}' as name, cast({c} as varchar) as item, n, null::double as x, nulls, n_distinct from (select {c}, count(*) as n from profiled where {c} is not null group by {c}) g, {of} t"
+        parts.append(f"select * exclude place from (select *, row_number() over (order by n desc, item) as place from ({top})) where place <= case when n_distinct > 50 then {int(text)} else 20 end")
+        if not text:
+            each = [("count", f"count({c})"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"), *((q, f"quantile_cont({c}::double, {i / 4})") for i, q in enumerate(("min", "25%", "50%", "75%", "max")))]
+            parts += [f"select '{c}', '{item}', null::bigint, round(x, 6), nulls, n_distinct from (select {x}::double as x from profiled), {of} where n_distinct > 50" for item, x in each]
+    return " union all ".join(parts)
+
+
+@query("D09_profile", with_panels(_profile_sql(), ("profiled", PROFILE_ROWS)))
 def d09(spark, path):
-    return rk.profile(tables.listings(spark, path), ["currency", "Sector"])
+    rows = tables.bars_walk(spark, path).select("symbol", "close", "volume", F.when(F.col("volume") % 8 != 7, F.col("volume") % 8).alias("weekly"))
+    return rk.profile(rows, list(PROFILED)).withColumn("x", F.round("x", 6))
 
 
 @query("D10_label_counts", with_panels("select CountryName as label, count(*) as n from listings group by CountryName"))

@@ -15,7 +15,6 @@ from tidemark.operators import ranking as rk
 from tidemark.operators import reversal as rv
 from tidemark.operators import trends as tr
 from tidemark.plans.indicators import CANDLES, SPIKE
-from tidemark.plans.ingest import scratch
 from tidemark.plans.registry import OVER, SO_FAR, Chain, filled, over, query
 from tidemark.plans.trends import IDX, PATTERN, REVERSAL, TREND, labelled
 from tidemark.sources.tables import bars_raw, bars_walk
@@ -149,10 +148,27 @@ def b17(spark, path):
     return s.select("Symbol", "Date", "Close", "Volume", *(F.round(c, 4).alias(c) for c in ("ATR", "ADX", "BB_width", "EMA200")), "DITrend")
 
 
-@query("D12_rule_checks", TREND.sql("select 'adx_range' as rule, count(*) filter (where adx < 0 or adx > 100) as violations from {last} union all select 'trend_format', count(*) filter (where not regexp_matches(trend, '^\\w+\\[\\w+\\]$')) from {last} union all select 'strong_vocabulary', count(*) filter (where adx_strength not in ('Strong', 'Average')) from {last} union all select 'price_positive', count(*) filter (where close <= 5000) from {last}"))
+# Snapshots as a careless writer lands them: values of most rows keep the rules, a few of each column do not.
+CARELESS = {
+    "SignalClassifier_ML": "volume % 11 - 5", "SignalClassifier_Rules": "case when volume % 4 <> 0 then volume % 9 - 4 end", "Trend": "case volume % 13 when 0 then 'Bull TrendingUp' when 1 then 'Up[Volatile]' when 2 then 'Bear[Sideways]' else trend end",
+    "TrendReversal_Rules": "case volume % 5 when 0 then 'NoReversal' when 1 then ' BullishReversalStrong ' when 2 then 'BullishReversal' else '0' end", "TrendReversal_ML": "case when volume % 6 = 0 then 'BearishReversal-MLWeak' when volume % 6 = 1 then 'bearish' end",
+    "TMA21_50_X": "volume % 4 - 1", "RSIUpTrend": "case when volume % 3 = 0 then 'True' when volume % 7 = 0 then 'yes' else '0' end", "ADX": "case when volume % 10 = 0 then -adx else adx end", "Pct2H52": "close / 10 - 50", "PctfL52": "close - 1000",
+}
+VOCABULARY = ", ".join(f"'{x}'" for x in rk.REVERSALS)
+KEPT = {
+    **{f"{c}_range": f"{c} between -4 and 4" for c in ("SignalClassifier_ML", "SignalClassifier_Rules")},
+    "Trend_format": r"regexp_matches(Trend, '^\w+\[\w+\]$')", "Trend_primary": "split_part(Trend, '[', 1) in ('Bull', 'Bear', 'Neutral')",
+    "Trend_secondary": r"regexp_extract(Trend, '\[([^\]]+)\]', 1) in (''" + "".join(f", '{x}'" for x in rk.SECONDARY) + ")",
+    **{f"{c}_label": f"trim({c}) in ({VOCABULARY})" for c in ("TrendReversal_Rules", "TrendReversal_ML")},
+    "TMA21_50_X_value": "TMA21_50_X in (-1, 0, 1)", "RSIUpTrend_value": "lower(trim(RSIUpTrend)) in ('0', '1', 'true', 'false')", "ADX_range": "ADX between 0 and 100", **{f"{c}_range": f"{c} between -100 and 1000" for c in ("Pct2H52", "PctfL52")},
+}
+SNAPSHOT = Chain("snap", (*TREND.steps, ("snap", f"select {', '.join(f'{x} as {c}' for c, x in CARELESS.items())} from {TREND.last}")))
+
+
+@query("D12_rule_checks", SNAPSHOT.held().sql(" union all ".join(f"select '{name}' as rule, count(*) filter (where not coalesce({ok}, true)) as violations from {{last}}" for name, ok in KEPT.items())))
 def d12(spark, path):
-    rules = {"adx_range": F.col("adx").between(0, 100), "trend_format": F.col("trend").rlike(r"^\w+\[\w+\]$"), "strong_vocabulary": F.col("adx_strength").isin("Strong", "Average"), "price_positive": F.col("close") > 5000}
-    return rk.rule_checks(labelled(bars_raw(spark, path)), rules)
+    snapshot = labelled(bars_raw(spark, path)).selectExpr(*(f"{x} as {c}" for c, x in CARELESS.items()))
+    return rk.check_snapshot(snapshot)
 
 
 # The reversal detector in SQL: the same bounds looked up by number, ranges by a join.
@@ -193,16 +209,7 @@ def side_chain(side: str) -> Chain:
 
 
 def panel(spark, path) -> DataFrame:
-    """The detector's panel as a written table: a dozen lookups by bar number read it, none computes it again."""
-    to = scratch(spark, "detector")
-    rv.detector_panel(bars_walk(spark, path)).write.parquet(to)
-    return spark.read.parquet(to)
-
-
-def _sides(spark, path, build, column: str) -> DataFrame:
-    p = panel(spark, path)
-    parts = [build(p, side).select("symbol", "date", F.lit(side).alias("side"), F.round(column, 5).alias(column)) for side in ("bull", "bear")]
-    return parts[0].unionByName(parts[1])
+    return rv.detector_panel(bars_walk(spark, path))
 
 
 def _both_sides() -> tuple[list[tuple[str, str]], str, str]:
@@ -230,8 +237,8 @@ def _label_steps() -> Chain:
     return Chain("lab3", tuple(steps))
 
 
-query("F19_pattern_score", _sides_sql("pattern_score", "cand"))(lambda spark, path: _sides(spark, path, rv.pattern_scores, "pattern_score"))
-query("F20_confirmation_score", _sides_sql("confirm_score", "pattern_score_ > 0"))(lambda spark, path: _sides(spark, path, rv.confirmation_scores, "confirm_score"))
+query("F19_pattern_score", _sides_sql("pattern_score", "cand"))(lambda spark, path: rv.side_scores(panel(spark, path)).select("symbol", "date", "side", F.round("pattern_score", 5).alias("pattern_score")))
+query("F20_confirmation_score", _sides_sql("confirm_score", "pattern_score_ > 0"))(lambda spark, path: rv.side_scores(panel(spark, path)).filter("pattern_score > 0").select("symbol", "date", "side", F.round("confirm_score", 5).alias("confirm_score")))
 
 
 @query("F21_reversal_label", _label_steps().sql("select symbol, date, reversal from {last}"))
