@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import emas
@@ -9,6 +10,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 from tidemark.plans.indicators import DI, DI_TREND, RSI, SIGNIFICANT, WALK, register
 from tidemark.plans.registry import OVER, SO_FAR, Chain, filled, over, query
+from tidemark.sources import tables
 from tidemark.sources.tables import bars_raw, bars_walk
 
 PAST = "over (partition by symbol order by date rows between unbounded preceding and 1 preceding)"
@@ -208,3 +210,17 @@ register("F27_counters", COUNTERS, lambda df: _with_int(tr.counters(df)), "vol_r
 def _with_int(df):
     return df.withColumn("consec_down", F.col("consec_down").cast("int")).withColumn("consec_up", F.col("consec_up").cast("int"))
 
+
+
+TAIL = 300
+TAILED = Chain(TREND.last, (("tail", f"select * exclude back from (select *, row_number() over (partition by symbol order by date desc) as back from bars_raw) where back <= {TAIL}"), *((n, t.replace("from bars_raw", "from tail")) for n, t in TREND.steps)))
+
+
+@query("tail_trend", TAILED.sql("select symbol, date, trend, trend_label, round(ema200, 6) as ema200, round(adx, 6) as adx from {last} where (symbol, date) in (select (symbol, max(date)) from tail group by symbol)"))
+def tail_trend(spark, path):
+    """Each symbol's newest trend as a nightly run has it, from its newest bars alone: exponential means start at the first of
+    them."""
+    df = tr.combined_trend(labelled(tables.bars(bars_raw(spark, path), tail_bars=TAIL)))
+    columns = ["symbol", "date", "trend", "trend_label", F.round("ema200", 6).alias("ema200"), F.round("adx", 6).alias("adx")]
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    return df.withColumn("back", newest).filter("back = 1").select(*columns)

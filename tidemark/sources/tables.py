@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts that both engines read alike: the panels every query starts from. Names in braces are tables.
@@ -99,9 +99,15 @@ def ticks(spark: SparkSession, path: str) -> DataFrame:
     return spark.sql(TICKS, events=table(spark, path, "events"))
 
 
-def bars(df: DataFrame, symbols: list[str] | None = None) -> DataFrame:
-    """Bars of some symbols, or of all; the filter reaches the scan."""
-    return df if symbols is None else df.filter(F.col("symbol").isin(symbols))
+def bars(df: DataFrame, symbols: list[str] | None = None, tail_bars: int | None = None) -> DataFrame:
+    """Bars of some symbols, or of all; the filter reaches the scan. With tail_bars only the newest of each symbol: whatever is
+    computed from them starts anew at the first that is left, exponential means too, as a nightly run over a short history
+    has it."""
+    df = df if symbols is None else df.filter(F.col("symbol").isin(symbols))
+    if tail_bars is None:
+        return df
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
+    return df.withColumn("__back", back).filter(F.col("__back") <= tail_bars).drop("__back")
 
 
 def bars_between(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
