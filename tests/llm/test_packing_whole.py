@@ -1,6 +1,7 @@
 """Ids against the tokenizer over all kinds of text; places over more than one group; bins against bounds and optima."""
 
 import random
+import time
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import ship_package
-from tidemark.llm.packing import ChunkIds, best_fit, least_bins, local_search, pack, token_pieces
+from tidemark.llm.packing import ChunkIds, _Exchanges, best_fit, least_bins, local_search, pack, packed_bins, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,6 +29,43 @@ def test_ids_of_any_text():
             assert np.frombuffer(got, "<u4").tolist() == want, ascii(t)
 
 
+def test_ids_of_letters_that_are_taken_apart():
+    """Letters that normalisation makes a letter and a mark of, and composed ones, before every ASCII mark."""
+    tok, mine = Tokenizer.from_file(PATH), ChunkIds(PATH)
+    apart = [c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and unicodedata.normalize("NFC", c) != c and len(unicodedata.normalize("NFC", c)) > 1]
+    assert len(apart) > 50 and {"\u0958", "\u095b", "\u09dc", "\u0a33", "\ufb1d", "\ufb4e"} <= set(apart)
+    marks = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()]
+    texts = [f"{before}{c}{after}{m}" for c in apart for m in marks for before, after in (("", ""), ("\u0928", ""), ("", "\u0915"))]
+    texts += [f"{c}{m}" for c in "\u00e9\u0439\uac01\u1e69" for m in marks] + [f"{c},." for c in apart]
+    for t, got in zip(texts, mine.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_search_on_lengths_that_best_fit_fails():
+    rng = np.random.default_rng(1)
+    for n, most, seconds in ((6000, 2030, 5), (50_000, 16_700, 60)):
+        lengths = rng.choice([300, 500, 690, 701, 813, 1023], n)
+        first, began = best_fit(lengths, 2048), time.time()
+        after = packed_bins(lengths, 2048)
+        assert time.time() - began < seconds and least_bins(lengths, 2048) <= after.max() + 1 <= most < first.max() + 1
+        assert np.bincount(after, lengths).max() <= 2048 and len(after) == n
+
+
+def test_exchanges_raise_the_squares_and_end():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        capacity = int(rng.integers(8, 60))
+        lengths = rng.integers(1, capacity + 1, int(rng.integers(2, 60)))
+        state = _Exchanges(lengths.tolist(), best_fit(lengths, capacity).tolist(), capacity)
+        while any(found := state.best(a) for a in range(len(state.fill)) if 0 < state.fill[a] < capacity and state.best(a)):
+            a = next(a for a in range(len(state.fill)) if 0 < state.fill[a] < capacity and state.best(a))
+            found, before = state.best(a), sum(f * f for f in state.fill)
+            state.exchange(a, *found)
+            assert sum(f * f for f in state.fill) >= before + 2 and max(state.fill) <= capacity
+        fills = [sum(x * len(items) for x, items in held.items()) for held in state.held]
+        assert fills == state.fill and sorted(i for held in state.held for items in held.values() for i in items) == list(range(len(lengths)))
+
+
 def optimum(lengths, capacity):
     best = [len(lengths)]
 
@@ -53,7 +91,7 @@ def test_bins_lie_between_the_bound_and_best_fit():
         capacity = int(rng.integers(5, 30))
         lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 9)))
         first = best_fit(lengths, capacity)
-        after = local_search(lengths, first, capacity)
+        after = packed_bins(lengths, capacity)
         best = optimum(sorted(lengths.tolist(), reverse=True), capacity)
         assert np.bincount(after, lengths).max() <= capacity and least_bins(lengths, capacity) <= best <= after.max() + 1 <= first.max() + 1
         over += int(after.max() + 1 - best)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ class ChunkIds:
         split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split) - known.keys()
-        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2]) and m[1].lower().isalpha()}  # a word and marks are two borders apart
+        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2]) and m[1].lower().isalpha() and unicodedata.is_normalized("NFC", m[1])}  # a word and marks are two borders apart
         need = {c for c in new if c not in marked} | {p for parts in marked.values() for p in parts if p not in known}
         fresh = self._learn(list(need))
         both = lambda p: known[p] if p in known else fresh[p]
@@ -154,6 +155,49 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def best_filled(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each item: one bin after the other gets the largest item left and the others that fill it best.
+
+    The sums that can be reached are the bits of one number, shifted by each length in turn until the bin can be full.
+    """
+    count = np.bincount(lengths, minlength=capacity + 1)
+    kinds = np.flatnonzero(count)[::-1].tolist()
+    pools = {x: np.flatnonzero(lengths == x).tolist() for x in kinds}
+    bins, b = np.empty(len(lengths), np.int64), 0
+    while kinds:
+        first = kinds[0]
+        room, sums, steps = capacity - first, 1, []
+        for x in kinds:
+            if x <= room:
+                for _ in range(min(len(pools[x]) - (x == first), room // x)):
+                    more = (sums | (sums << x)) & ((2 << room) - 1)
+                    if more == sums:
+                        break
+                    steps.append((x, sums))
+                    sums = more
+            if sums >> room & 1:
+                break
+        left, taken = sums.bit_length() - 1, [first]
+        for x, before in reversed(steps):
+            if not before >> left & 1:
+                taken.append(x)
+                left -= x
+        for x in taken:
+            bins[pools[x].pop()] = b
+        kinds, b = [x for x in kinds if pools[x]] if any(not pools[x] for x in taken) else kinds, b + 1
+    return bins
+
+
+def packed_bins(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each item: the search from best fit, and, where that stays above least_bins, the better of it and the search
+    from best_filled."""
+    bins = local_search(lengths, best_fit(lengths, capacity), capacity)
+    if len(bins) and bins.max() + 1 > least_bins(lengths, capacity):
+        other = local_search(lengths, best_filled(lengths, capacity), capacity)
+        bins = other if other.max() < bins.max() else bins
+    return bins
+
+
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
     """No packing has fewer bins: the greatest, over k, of the bins that items over capacity - k need for themselves, and
     those that the items from k up to it need beside the room that the former leave (k up to half the capacity); and, over
@@ -169,107 +213,122 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return int(max((big + np.maximum(middle, -(-rest // capacity))).max(initial=0), (-(-n[capacity // (j + 1) + 1] // j)).max(initial=0)))
 
 
-def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Empties underfull bins by exchanges that raise the sum of squared fills.
+class _Exchanges:
+    """Underfull bins and what they hold, by length: equal lengths are one kind.
 
-    The emptiest bin gives its items away: an item moves to a bin with room for it (the fullest such); else it is exchanged
-    for one smaller item, or for two smaller ones together, or two of its items for one, of a bin that has room for the
-    difference (the largest difference, then the one that leaves the least room). All leave the emptier bin emptier and a
-    fuller one fuller, so they end. All items of all underfull bins, and all pairs that share a bin, take part. A bin that
-    can't be emptied is left as it was; the search ends when that holds for every underfull bin, or at least_bins.
+    For each length, and each sum of two lengths that share a bin, a heap has the bins that hold it, emptiest first; a bin that
+    has changed is entered anew and its old entries are passed over. Two numbers have a bit for each length and each sum that is
+    held, so the greatest of them up to a limit is one look.
     """
-    bins = bins.copy()
-    n_bins = int(bins.max()) + 1 if len(bins) else 0
-    fill = np.bincount(bins, lengths, n_bins).astype(np.int64)
-    least = least_bins(lengths, capacity)
-    alive = int((fill > 0).sum())
-    stuck = np.zeros(n_bins, bool)
-    while alive > least:
-        victims = np.flatnonzero((fill > 0) & (fill < capacity) & ~stuck)
-        if not len(victims):
-            break
-        victim = int(victims[np.argmin(fill[victims])])
-        items = np.flatnonzero((fill[bins] < capacity) & (bins != victim))  # only underfull bins can take anything
-        own = np.flatnonzero(bins == victim).tolist()
-        before = own.copy(), bins[items], fill.copy()
-        while own and _step(lengths, bins, fill, capacity, victim, own, items):
-            items = np.union1d(items, before[0])  # what the victim has given away can be exchanged again
-        if own:
-            bins[before[0]], fill = victim, before[2]
-            bins[np.setdiff1d(items, before[0], assume_unique=True)] = before[1]
-            stuck[victim] = True
-        else:
-            alive -= 1
-    _, bins = np.unique(bins, return_inverse=True)
-    return bins
+
+    def __init__(self, lengths: list[int], bins: list[int], capacity: int):
+        self.lengths, self.capacity = lengths, capacity
+        n = max(bins, default=-1) + 1
+        self.fill, self.held = [0] * n, [{} for _ in range(n)]
+        for item, (size, b) in enumerate(zip(lengths, bins, strict=True)):
+            self.fill[b] += size
+            self.held[b].setdefault(size, []).append(item)
+        self.heaps: tuple[list[list], list[list]] = [[] for _ in range(capacity + 1)], [[] for _ in range(capacity + 1)]
+        self.masks = [0, 0]  # of single items, of pairs
+        for b in range(n):
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        fill, held = self.fill[b], self.held[b]
+        if not 0 < fill < self.capacity:  # full bins take no part, and give nothing
+            return
+        kinds = sorted(held)
+        for i, x in enumerate(kinds):
+            heappush(self.heaps[0][x], (fill, b, x))
+            self.masks[0] |= 1 << x
+            for y in kinds[i if len(held[x]) > 1 else i + 1 :]:
+                heappush(self.heaps[1][x + y], (fill, b, x))
+                self.masks[1] |= 1 << (x + y)
+
+    def giver(self, pair: int, size: int, taker: int) -> tuple[int, tuple[int, ...]] | None:
+        """The emptiest other bin that holds a length, or a pair of that sum, and the lengths."""
+        heap, own, found = self.heaps[pair][size], None, None
+        while heap and found is None:
+            fill, b, x = heap[0]
+            held = self.held[b]
+            if self.fill[b] != fill or x not in held or pair and (size - x not in held or 2 * x == size and len(held[x]) < 2):
+                heappop(heap)
+            elif b == taker:
+                own = heappop(heap)
+            else:
+                found = b, (x, size - x) if pair else (x,)
+        if own is not None:
+            heappush(heap, own)
+        elif not heap:
+            self.masks[pair] &= ~(1 << size)
+        return found
+
+    def best(self, a: int) -> tuple[int, tuple[int, ...], int, tuple[int, ...]] | None:
+        """(gain, what a gives, the other bin, what that gives): of all exchanges that raise the squared fills, a being the
+        fuller one afterwards, one of greatest gain: a move, one for one, two for one or one for two."""
+        fill, held = self.fill[a], self.held[a]
+        room, top = self.capacity - fill, None
+        kinds = sorted(held)
+        singles = [(0, ()), *((x, (x,)) for x in kinds)]
+        pairs = [(x + y, (x, y)) for i, x in enumerate(kinds) for y in kinds[i if len(held[x]) > 1 else i + 1 :]]
+        for mine, kind in ((singles, 0), (singles[1:], 1), (pairs, 0)):
+            for given, parts in mine:
+                limit = given + room
+                least = given + (top[0] if top else 0)
+                while limit > least:
+                    size = (self.masks[kind] & ((2 << limit) - 1)).bit_length() - 1
+                    if size <= least:
+                        break
+                    other = self.giver(kind, size, a)
+                    if other and fill + size - given > self.fill[other[0]]:
+                        top = size - given, parts, *other
+                        if size == given + room:
+                            return top
+                        break
+                    limit = size - 1
+        return top
+
+    def exchange(self, a: int, gain: int, out: tuple[int, ...], b: int, back: tuple[int, ...]) -> None:
+        for giver, taker, sizes in ((a, b, out), (b, a, back)):
+            moved = []
+            for x in sizes:
+                items = self.held[giver][x]
+                moved.append((x, items.pop()))
+                if not items:
+                    del self.held[giver][x]
+            for x, item in moved:
+                self.held[taker].setdefault(x, []).append(item)
+        self.fill[a] += gain
+        self.fill[b] -= gain
+        self.enter(a)
+        self.enter(b)
 
 
-def _pairs(items: np.ndarray, bins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of items that share a bin: of pairs with equal bin and lengths one. A bin has few different lengths (k of them
-    are k * (k + 1) / 2 tokens or more)."""
-    order = items[np.lexsort((lengths[items], bins[items]))]
-    same = np.zeros(len(order), bool)
-    same[1:] = (bins[order][1:] == bins[order][:-1]) & (lengths[order][1:] == lengths[order][:-1])
-    place = np.flatnonzero(~same)
-    twice = place[np.append(same, False)[place + 1]]
-    one, two = [order[twice]], [order[twice + 1]]
-    kinds = order[place]
-    for d in range(1, len(kinds)):
-        near = np.flatnonzero(bins[kinds[:-d]] == bins[kinds[d:]])
-        if not len(near):
-            break
-        one.append(kinds[near])
-        two.append(kinds[near + d])
-    return np.concatenate(one), np.concatenate(two)
-
-
-def _step(lengths, bins, fill, capacity, victim, own, items) -> bool:
-    """One exchange between the victim and another bin; own is the list of the victim's items."""
-    items = items[bins[items] != victim]
-    where = bins[items]
-    size, room = lengths[items], capacity - fill[where]
-    for i in sorted(own, key=lambda x: -lengths[x]):  # move
-        fits = np.flatnonzero(room >= lengths[i])
-        if len(fits):
-            _shift(lengths, bins, fill, own, victim, [i], int(where[fits[np.argmin(room[fits])]]), [])
-            return True
-    best: tuple[int, list[int], int, list[int]] | None = None
-
-    def consider(mine: list[int], gain: np.ndarray, room: np.ndarray, target: np.ndarray, theirs) -> None:
-        nonlocal best
-        ok = np.flatnonzero((gain > 0) & (gain <= room))
-        if len(ok):
-            worth = gain[ok] * (capacity + 1) - (room[ok] - gain[ok])
-            j = ok[np.argmax(worth)]
-            if best is None or worth.max() > best[0]:
-                best = int(worth.max()), mine, int(target[j]), theirs(j)
-
-    kinds = {int(lengths[i]): i for i in own}  # items of equal length are alike
-    for i in kinds.values():
-        consider([i], lengths[i] - size, room, where, lambda j: [int(items[j])])
-    if best is None:
-        first, second = _pairs(items, bins, lengths)
-        together, at = lengths[first] + lengths[second], bins[first]
-        for i in kinds.values():
-            consider([i], lengths[i] - together, capacity - fill[at], at, lambda j: [int(first[j]), int(second[j])])
-    if best is None:
-        mine = np.array(own, np.int64)
-        for i, k in zip(*(x.tolist() for x in _pairs(mine, bins, lengths)), strict=True):
-            consider([i, k], lengths[i] + lengths[k] - size, room, where, lambda j: [int(items[j])])
-    if best is None:
-        return False
-    _shift(lengths, bins, fill, own, victim, best[1], best[2], best[3])
-    return True
-
-
-def _shift(lengths, bins, fill, own, victim, out: list[int], to: int, back: list[int]) -> None:
-    moved = int(lengths[out].sum()) - int(lengths[back].sum() if back else 0)
-    bins[out] = to
-    if back:
-        bins[back] = victim
-    fill[to] += moved
-    fill[victim] -= moved
-    own[:] = [x for x in own if x not in out] + back
+def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Empties underfull bins by exchanges that raise the sum of squared fills, between any two of them.
+
+    An underfull bin, the fullest first, gets what fills it best from another: an item without return, a larger one for one of its
+    own, two for one, or one for two. The exchange that gains it most is made, from the emptiest bin that has what it needs, as
+    long as the squared fills rise. A bin that all is taken from is gone. The search ends at least_bins, or when no bin has such
+    an exchange. Every exchange raises the sum of squares by 2 or more, and it is capacity * the sum of lengths at most, so
+    there is an end; each costs a look at the kinds and pairs of kinds of one bin, not at the other bins.
+    """
+    least = least_bins(lengths, capacity)
+    state = _Exchanges(lengths.tolist(), bins.tolist(), capacity)
+    alive, moved = sum(f > 0 for f in state.fill), True
+    while moved and alive > least:
+        moved = False
+        for a in sorted((b for b, f in enumerate(state.fill) if 0 < f < capacity), key=lambda b: -state.fill[b]):
+            while 0 < state.fill[a] < capacity and alive > least and (found := state.best(a)):
+                state.exchange(a, *found)
+                alive -= state.fill[found[2]] == 0
+                moved = True
+    out = np.empty(len(lengths), np.int64)
+    for b, held in enumerate(state.held):
+        for items in held.values():
+            out[items] = b
+    _, out = np.unique(out, return_inverse=True)
+    return out
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 50_000, ws: Workspace | None = None) -> DataFrame:
@@ -286,7 +345,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 50_000, ws
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
-        bins = local_search(lengths, best_fit(lengths, capacity), capacity)
+        bins = packed_bins(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[order])
         starts = ends - lengths[order]
