@@ -27,14 +27,19 @@ ORACLE_SQL = None
 ROW = "pipeline_row"
 
 
+def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows of docs as one column `doc` beside those that a stage reads, so no other column can clash with its helpers."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *columns)
+
+
 def _filtered(docs: DataFrame, judge, once: bool = False) -> DataFrame:
     """docs without the rows that judge(docs, key column) rejects: its rows are (id, kept). With `once`, equal rows stay once."""
     ws = Workspace(docs.sparkSession, "filtered")
-    keyed, numbered = keyed_rows(docs, ws, "doc_id", "text", ROW)
+    keyed, numbered = keyed_rows(_boxed(docs, "doc_id", "text"), ws, "doc_id", "text", ROW)
     judged = judge(keyed, ROW)
     dropped = ws.save(judged.filter("not kept").select(F.col("id").alias(ROW)), "ids")
     kept = drop_keys(keyed, dropped, ROW)
-    return (kept.dropDuplicates([ROW]) if once and numbered else kept).select(docs.columns)
+    return (kept.dropDuplicates([ROW]) if once and numbered else kept).select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +69,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate has it, in shuffled order."""
     ship_package(spark)
-    return mix(docs, source_rates(docs)).select(docs.columns)
+    return mix(_boxed(docs, "doc_id", "source"), source_rates(docs)).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
