@@ -48,9 +48,21 @@ def completeness(df: DataFrame, fields: tuple[str, ...] = REQUIRED, quarters: in
 
 def data_tier(df: DataFrame, fields: tuple[str, ...] = REQUIRED) -> DataFrame:
     """(symbol, tier): 1 with four or more full quarters, 2 with two or three, 3 with one, 4 with none."""
-    full = F.count_if(present(fields) == len(fields))
-    tier = F.when(full >= 4, 1).when(full >= 2, 2).when(full == 1, 3).otherwise(4)
-    return df.groupBy("symbol").agg(tier.alias("tier"))
+    return df.groupBy("symbol").agg(_tier(F.count_if(present(fields) == len(fields))).alias("tier"))
+
+
+def _tier(full: Column) -> Column:
+    return F.when(full >= 4, 1).when(full >= 2, 2).when(full == 1, 3).otherwise(4)
+
+
+def newest_with_quality(df: DataFrame, fields: tuple[str, ...] = REQUIRED, quarters: int = 4) -> DataFrame:
+    """The newest report of each symbol with its completeness and tier: what latest_per_symbol, completeness and data_tier
+    give, in one pass over the reports."""
+    others = [c for c in df.columns if c != "symbol"]
+    share = F.when(F.col("__back") <= quarters, present(fields) / len(fields))
+    found = df.withColumn("__back", F.row_number().over(newest_first())).groupBy("symbol")
+    found = found.agg(F.max_by(F.struct(*others), "report_date").alias("r"), F.avg(share).alias("completeness"), _tier(F.count_if(present(fields) == len(fields))).alias("tier"))
+    return found.select("symbol", "r.*", "completeness", "tier")
 
 
 def percentile_rank(value: Column, part: list, nulls: str = "bottom") -> Column:
@@ -102,19 +114,37 @@ def completeness_weighted(df: DataFrame, weight: float = 0.2) -> DataFrame:
     return df.withColumn("gem_score", (1 - weight) * scaled + weight * F.coalesce("completeness", F.lit(0.0)))
 
 
+CAP_QUANTILES = "array(0.4, 0.75, 0.95, 0.33, 0.66)"
+
+
+def _thresholds(n: Column, p: Column, top: Column) -> dict[str, Column]:
+    many = n >= 10
+    return {"t1": F.when(many, p[0]).otherwise(p[3]), "t2": F.when(many, p[1]).otherwise(p[4]), "t3": F.when(many, p[2]).otherwise(top)}
+
+
 def cap_thresholds(df: DataFrame, min_mln: float) -> DataFrame:
     """(CountryName, n, t1, t2, t3) over investable names: p40, p75, p95, or p33, p66 and the maximum below ten names."""
     inv = df.filter(F.col("mcap") >= min_mln * 1e6)
-    p = inv.groupBy("CountryName").agg(F.count("*").alias("n"), F.expr("percentile(mcap, array(0.4, 0.75, 0.95, 0.33, 0.66))").alias("p"), F.max("mcap").alias("top"))
-    many = F.col("n") >= 10
-    return p.select("CountryName", "n", F.when(many, F.col("p")[0]).otherwise(F.col("p")[3]).alias("t1"), F.when(many, F.col("p")[1]).otherwise(F.col("p")[4]).alias("t2"), F.when(many, F.col("p")[2]).otherwise(F.col("top")).alias("t3"))
+    p = inv.groupBy("CountryName").agg(F.count("*").alias("n"), F.expr(f"percentile(mcap, {CAP_QUANTILES})").alias("p"), F.max("mcap").alias("top"))
+    return p.select("CountryName", "n", *(c.alias(k) for k, c in _thresholds(F.col("n"), F.col("p"), F.col("top")).items()))
 
 
-def cap_bucket(df: DataFrame, thresholds: DataFrame, min_mln: float) -> DataFrame:
-    """Adds cap_category; thresholds has one row a country."""
+def _bucket(min_mln: float) -> Column:
     m = F.col("mcap")
-    bucket = F.when(m.isNull(), "Unknown").when(m < min_mln * 1e6, "BelowMin").when(F.col("t1").isNull(), "Unknown").when(m < F.col("t1"), "Micro").when(m < F.col("t2"), "Small").when(m < F.col("t3"), "Mid").otherwise("Large")
-    return df.join(F.broadcast(thresholds.select("CountryName", "t1", "t2", "t3")), "CountryName", "left").withColumn("cap_category", bucket).drop("t1", "t2", "t3")
+    return F.when(m.isNull(), "Unknown").when(m < min_mln * 1e6, "BelowMin").when(F.col("t1").isNull(), "Unknown").when(m < F.col("t1"), "Micro").when(m < F.col("t2"), "Small").when(m < F.col("t3"), "Mid").otherwise("Large")
+
+
+def cap_bucket(df: DataFrame, min_mln: float, thresholds: DataFrame | None = None) -> DataFrame:
+    """Adds cap_category by thresholds (a row a country), or by those of df itself: then as windows by country, which the scores
+    need anyway, so df is not derived a second time."""
+    if thresholds is not None:
+        df = df.join(F.broadcast(thresholds.select("CountryName", "t1", "t2", "t3")), "CountryName", "left")
+    else:
+        w = Window.partitionBy("CountryName")
+        df = df.withColumn("__inv", F.when(F.col("mcap") >= min_mln * 1e6, F.col("mcap")))
+        df = df.withColumns({"__n": F.count("__inv").over(w), "__p": F.expr(f"percentile(__inv, {CAP_QUANTILES})").over(w), "__top": F.max("__inv").over(w)})
+        df = df.withColumns(_thresholds(F.col("__n"), F.col("__p"), F.col("__top"))).drop("__inv", "__n", "__p", "__top")
+    return df.withColumn("cap_category", _bucket(min_mln)).drop("t1", "t2", "t3")
 
 
 def subset_rank(flag: Column, score: Column, part: list | None = None) -> Column:

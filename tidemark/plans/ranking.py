@@ -72,19 +72,16 @@ PRIOR = (
 
 
 def scored(spark, path) -> DataFrame:
-    latest = rk.latest_per_symbol(tables.fundamentals(spark, path)).join(tables.listings(spark, path).select("symbol", "CountryName"), "symbol")
+    latest = rk.newest_with_quality(tables.fundamentals(spark, path)).join(tables.listings(spark, path).select("symbol", "CountryName"), "symbol")
     return rk.gem_score(rk.ratios(latest))
 
 
 def weighted(spark, path) -> DataFrame:
-    f = tables.fundamentals(spark, path)
-    both = scored(spark, path).join(rk.completeness(f), "symbol").join(rk.data_tier(f), "symbol")
-    return rk.completeness_weighted(both).withColumn("gem_score", F.round("gem_score", 9))
+    return rk.completeness_weighted(scored(spark, path)).withColumn("gem_score", F.round("gem_score", 9))
 
 
 def ranked(spark, path) -> DataFrame:
-    w = weighted(spark, path)
-    return rk.ranks(rk.cap_bucket(w, rk.cap_thresholds(scored(spark, path), MIN_MLN), MIN_MLN), MIN_MLN)
+    return rk.ranks(rk.cap_bucket(weighted(spark, path), MIN_MLN), MIN_MLN)
 
 
 @query("A19_refresh_watchlists", with_panels("select 'all_ranked' as watchlist, tier, symbol, cast(row_number() over (partition by tier order by gem_rank nulls last, symbol) as integer) as place from ranked union all select 'tier1_top', tier, symbol, cast(row_number() over (order by gem_rank, symbol) as integer) from (select * from ranked where tier = 1 and gem_rank is not null order by gem_rank, symbol limit 100)", *RANKED))
