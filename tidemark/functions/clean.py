@@ -14,7 +14,7 @@ ALIASES = {
 }
 NULL_TOKENS = ("", "N/A", "NA", "NONE")
 COUNTRY_BY_PREFIX = {"US": "USA", "IN": "India", "BS": "India", "HK": "Hong Kong"}
-CURRENCY_BY_COUNTRY = {"AMERICA": "USD", "ASIA": "INR", "EUROPE": "EUR", "AFRICA": "HKD", "MIDDLE EAST": "HKD"}
+CURRENCY_BY_COUNTRY = {"USA": "USD", "India": "INR", "Hong Kong": "HKD"}
 MIN_CAP_MLN = {"USA": 2.0, "India": 160.0, "Hong Kong": 15.0}
 SECTOR_TYPES = {
     "Technology": "Sensitive", "Communication Services": "Sensitive", "Energy": "Sensitive", "Industrials": "Sensitive",
@@ -91,9 +91,10 @@ def filter_microcaps(df: DataFrame, mln: float) -> DataFrame:
     return df.filter(F.col("MarketCapitalization") >= mln * 1e6)
 
 
-def native_currency(df: DataFrame) -> DataFrame:
-    """Rows reported in the currency of their country; countries not in the list pass."""
-    want = lookup(F.col("CountryName"), CURRENCY_BY_COUNTRY)
+def native_currency(df: DataFrame, currencies: dict[str, str] | None = None) -> DataFrame:
+    """Rows reported in the currency of their country, whatever its case; countries not in the list pass."""
+    known = CURRENCY_BY_COUNTRY if currencies is None else currencies
+    want = lookup(F.lower(F.trim("CountryName")), {k.lower(): v for k, v in known.items()})
     return df.filter(want.isNull() | (F.upper(F.trim(F.coalesce("currency", F.lit("")))) == want))
 
 

@@ -18,14 +18,18 @@ KEEP = "symbol, date, open, high, low, close, volume"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared checkpoint directory. Where that is unset a local master (tests) gets a temporary one; a
-    cluster has no folder then that all executors see."""
+    """A new folder of the shared checkpoint directory, deleted when the driver ends. Where that is unset a local master (tests)
+    gets a temporary one; a cluster has no folder then that all executors see."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"
 
 
 def arrays_json(bars: DataFrame) -> DataFrame:
@@ -268,9 +272,12 @@ def b11(spark, path):
     return clean.filter_microcaps(tables.fundamentals(spark, path), 2.0).select("symbol", "report_date", "MarketCapitalization")
 
 
+REGION_CURRENCIES = {"AMERICA": "USD", "ASIA": "INR", "EUROPE": "EUR", "AFRICA": "HKD", "MIDDLE EAST": "HKD"}
+
+
 @query("B12_native_currency", with_panels("select symbol, CountryName, currency from listings where currency is not null"))
 def b12(spark, path):
-    return clean.native_currency(tables.listings(spark, path)).select("symbol", "CountryName", "currency")
+    return clean.native_currency(tables.listings(spark, path), REGION_CURRENCIES).select("symbol", "CountryName", "currency")
 
 
 @query("B13_fresh", with_panels("select symbol, report_date from fundamentals where report_date >= date '1996-06-30' - 300"))

@@ -33,7 +33,8 @@ def upsert_batches(source: DataFrame, spark: SparkSession, store: str, checkpoin
 
     The table is held in `parts` parts by a hash of the keys. A batch rewrites only the parts that it touches, under its own
     number; a list a batch says which number is the newest of each part. A batch that is run again starts from the list of
-    the batch before and writes the same files, so a restart does no harm. on_batch must be safe to repeat as well.
+    the batch before and writes the same files, so a restart does no harm. on_batch must be safe to repeat as well. Files that
+    neither this batch's list nor the one before needs are deleted.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -48,10 +49,30 @@ def upsert_batches(source: DataFrame, spark: SparkSession, store: str, checkpoin
         if on_batch:
             on_batch(batch.drop("part"), number)
         batch.unpersist()
+        if number > 1 and _exists(spark, f"{store}/list{number - 2}"):  # not if this batch has got so far before
+            older, before = _newest(spark, store, number - 2), _newest(spark, store, number - 1)
+            unused = set(older.values()) - set(before.values()) - set(newest.values())
+            for name in [*(f"v{n}" for n in unused), f"list{number - 2}"]:
+                _delete(spark, f"{store}/{name}")
 
     source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, p = _files(spark, path)
+    return files.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, p = _files(spark, path)
+    files.delete(p, True)
+
+
 def _newest(spark: SparkSession, store: str, number: int) -> dict[int, int]:
     return {} if number < 0 else {r["part"]: r["number"] for r in spark.read.parquet(f"{store}/list{number}").collect()}  # a row a part
 
