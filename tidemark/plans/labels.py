@@ -21,11 +21,23 @@ def firsts(n: int, cond: str) -> str:
     return "coalesce(" + ", ".join(f"case when {cond.format(u=u)} then {u} end" for u in range(1, n + 1)) + ")"
 
 
-LEADS = Chain("bars_walk").add(*(f"lead({c}, {u}) {OVER} as {c[0]}{u}" for c in ("high", "low", "close") for u in range(1, H + 1)))
 CLOSES = ", ".join(f"c{u}" for u in range(1, H + 1))
-BARRIER = LEADS.add(firsts(H, "h{u} >= close * (1 + 0.08::double)") + " as t_", firsts(H, "l{u} <= close * (1 - 0.06::double)") + " as s_", f"len(list_filter([{CLOSES}], lambda x: x is not null)) as n_", f"greatest({CLOSES}) / close - 1 as top_", f"least({CLOSES}) / close - 1 as low_").add(
-    "t_ is not null and (s_ is null or t_ <= s_) as won_"
-).add("s_ is not null and not won_ as lost_").add(f"list_extract([{CLOSES}], case when won_ then t_ when lost_ then s_ else n_ end) / close - 1 as ret_")
+
+
+def with_leads(chain: Chain) -> Chain:
+    """The chain with h1, l1, c1 to h10, l10, c10: the bars ahead."""
+    return chain.add(*(f"lead({c}, {u}) {OVER} as {c[0]}{u}" for c in ("high", "low", "close") for u in range(1, H + 1)))
+
+
+def with_barriers(chain: Chain) -> Chain:
+    """The chain with the bars ahead and the barrier columns."""
+    first = with_leads(chain).add(firsts(H, "h{u} >= close * (1 + 0.08::double)") + " as t_", firsts(H, "l{u} <= close * (1 - 0.06::double)") + " as s_", f"len(list_filter([{CLOSES}], lambda x: x is not null)) as n_", f"greatest({CLOSES}) / close - 1 as top_", f"least({CLOSES}) / close - 1 as low_")
+    first = first.add("t_ is not null and (s_ is null or t_ <= s_) as won_").add("s_ is not null and not won_ as lost_")
+    return first.add(f"list_extract([{CLOSES}], case when won_ then t_ when lost_ then s_ else n_ end) / close - 1 as ret_")
+
+
+LABEL = "case when n_ > 0 then case when won_ then 1 when lost_ then 0 else cast(top_ >= 0.08 as integer) end end"
+BARRIER = with_barriers(Chain("bars_walk"))
 K01 = "symbol, date, cast(case when n_ > 0 then case when won_ then 1 when lost_ then 0 else cast(top_ >= 0.08 as integer) end end as integer) as label_success, case when n_ > 0 then round(ret_, 6) end as realized_return, round(top_, 6) as max_future_return, round(low_, 6) as min_future_return, cast(case when won_ then t_ end as integer) as days_to_target, cast(case when n_ > 0 then cast(lost_ as integer) end as integer) as stop_hit"
 K_COLUMNS = ("label_success", "realized_return", "max_future_return", "min_future_return", "days_to_target", "stop_hit")
 
@@ -40,7 +52,7 @@ def k01(spark, path):
     return barriers(spark, path)
 
 
-ATR = LEADS.add(f"lag(close) {OVER} as pc").add("case when pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr").ewm("tr", "atr0", 1 / 14).add("round(atr0, 6) as atr")
+ATR = with_leads(Chain("bars_walk")).add(f"lag(close) {OVER} as pc").add("case when pc is null then high - low else greatest(high - low, abs(high - pc), abs(low - pc)) end as tr").ewm("tr", "atr0", 1 / 14).add("round(atr0, 6) as atr")
 ATR_K = ATR.add(firsts(H, "h{u} >= close + 1.5 * atr") + " as t_", firsts(H, "l{u} <= close - 1.0 * atr") + " as s_")
 
 
