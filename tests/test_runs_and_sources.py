@@ -72,6 +72,20 @@ def test_the_detector_is_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning(symbol") == 1 and "Join" not in plan
 
 
+def test_the_meta_model_moves_the_label(spark):
+    rng = random.Random(12)
+    series = {f"s{k}": walk(rng, 220, (-2, -1, -1, 1, 1, 2)) for k in range(3)}
+    rows = bars_of(spark, series).withColumns({"open": F.col("close"), "high": F.col("close") + 1, "low": F.col("close") - 1}).withColumn("volume", F.lit(5).cast("bigint"))
+    panel = rv.detector_panel(rows).withColumn("p", F.when(F.col("symbol") != "s2", F.when(F.col("symbol") == "s0", 0.8).otherwise(1.2)))
+    of = lambda df: {(r["symbol"], r["date"]): r for r in df.collect()}
+    plain, moved = of(rv.reversal_labels(panel)), of(rv.reversal_labels(panel, meta=F.col("p")))
+    assert len(plain) == len(moved) == 660 and any(r["strength"] for r in plain.values())
+    for k, r in plain.items():
+        best = max(r["bull_score"] or 0.0, r["bear_score"] or 0.0) * {"s0": 0.8, "s1": 1.2, "s2": 1.0}[k[0]]
+        want = next((n for n, least in (("Strong", 0.70), ("Moderate", 0.45), ("Weak", 0.20)) if min(best, 1.0) >= least), None)
+        assert moved[k]["strength"] == want and moved[k]["direction"] == r["direction"]
+
+
 def test_late_ticks_are_dropped_and_others_are_not(spark, tmp_path):
     at = lambda day, hour=12: dt.datetime(2024, 1, day, hour)
     loads = [

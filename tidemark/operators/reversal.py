@@ -129,17 +129,19 @@ def side_scores(panel: DataFrame, market: Column | None = None) -> DataFrame:
     return scored(panel, market).select("symbol", "date", F.inline(F.array(*each))).filter("pattern_score is not null")
 
 
-def reversal_labels(panel: DataFrame, market: Column | None = None) -> DataFrame:
+def reversal_labels(panel: DataFrame, market: Column | None = None, meta: Column | None = None) -> DataFrame:
     """(symbol, date, bull_score, bear_score, direction, strength, reversal) for every bar: the larger product of pattern
-    and confirmation, bull on ties; NoReversal below 0.20."""
+    and confirmation, bull on ties; NoReversal below 0.20. meta is a multiplier of the meta model's for that product (1 where it
+    is null), which then stays within 0 and 1."""
     product = {f"{side}_score": F.when(F.col(f"{side}_pattern") > 0, F.col(f"{side}_pattern") * F.col(f"{side}_confirm")) for side in SIDES}
     # As the fields of a one-row generator the scores are computed once; else each use and filter below would repeat them.
+    product["meta"] = F.lit(1.0) if meta is None else F.coalesce(meta, F.lit(1.0))
     out = scored(panel, market).select("symbol", "date", "close", "atr", "vol20", F.inline(F.array(F.struct(*(x.alias(k) for k, x in product.items())))))
     b, r = F.coalesce("bull_score", F.lit(0.0)), F.coalesce("bear_score", F.lit(0.0))
-    best = F.greatest(b, r)
+    best = F.greatest(b, r) if meta is None else _unit(F.greatest(b, r) * F.col("meta"))
     strength = F.when(best >= 0.70, "Strong").when(best >= 0.45, "Moderate").when(best >= 0.20, "Weak")
     out = out.withColumn("direction", F.when(best > 0, F.when(b >= r, "Bullish").otherwise("Bearish"))).withColumn("strength", strength)
-    return out.withColumn("reversal", F.when(strength.isNull(), "NoReversal").otherwise(F.concat("direction", F.lit("Reversal"), "strength")))
+    return out.withColumn("reversal", F.when(strength.isNull(), "NoReversal").otherwise(F.concat("direction", F.lit("Reversal"), "strength"))).drop("meta")
 
 
 def trade_plan(df: DataFrame, equity: float = 100_000.0, risk: float = 0.01, least_volume: float | None = None) -> DataFrame:
