@@ -82,3 +82,25 @@ def test_stages(spark, tmp_path, odd):
     if not odd:
         judged = {r["id"]: r["kept"] for r in quality_selection(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels).collect()}
         assert {i for i, k in judged.items() if k} == {i for i, _ in seen[0]}
+
+
+def test_columns_that_clash_and_tables_of_nothing(spark, tmp_path):
+    ship_package(spark)
+    rng = random.Random(4)
+    names = ("key_tag", "key_id", "row_id", "pipeline_row", "__slot", "__perhaps", "doc", "mix_copy", "mix_group", "kept")
+    schema = f"{SCHEMA}, {', '.join(f'{n} string' for n in names)}"
+    texts = [passage(rng, 60) for _ in range(40)]
+    rows = [(i, t, "en", f"s{i % 2}", 1, *(f"{n}{i}" for n in names)) for i, t in enumerate([*texts, texts[3], texts[4] + " end"])]
+    rows += [rows[5], (7, texts[0], "en", "s1", 1, *names)]  # an id that repeats: rows are numbered
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    for part, held in (("some", rows), ("none", [])):
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{part}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{part}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{part}/documents.parquet")
+        ws = Workspace(spark, "clash")
+        for name, stage in cp.STAGES[:-1]:
+            docs = ws.save(stage(spark, docs, f"{tmp_path}/{part}"), name)
+            assert docs.columns == spark.createDataFrame([], schema).columns
+            assert {tuple(r) for r in docs.collect()} <= set(held)  # values are as they were
+        placed = cp.STAGES[-1][1](spark, docs, f"{tmp_path}/{part}").count()
+        assert placed == docs.count() and bool(placed) == bool(held)

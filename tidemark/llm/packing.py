@@ -55,7 +55,7 @@ class ChunkIds:
         split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = set().union(*split) - known.keys()
-        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2]) and m[1].lower().isalpha() and unicodedata.is_normalized("NFC", m[1])}  # a word and marks are two borders apart
+        marked = {c: m.groups() for c in new if (m := MARKED.fullmatch(c)) and not _combining(m[2]) and m[1].lower().isalpha() and (m[1].isascii() or unicodedata.is_normalized("NFC", m[1]))}  # a word and marks are two borders apart
         need = {c for c in new if c not in marked} | {p for parts in marked.values() for p in parts if p not in known}
         fresh = self._learn(list(need))
         both = lambda p: known[p] if p in known else fresh[p]
