@@ -205,8 +205,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     in all documents, however its digits are grouped, and the key takes it back (inverse). Card numbers must pass the Luhn
     test, IBANs theirs, IP octets, SSN parts and dates must be possible; others stay as they are. Where a run of digit groups
     fails, its first and longest part of whole groups that passes is the value; a pseudonym that happens to pass together
-    with the groups beside it is not taken back. Area codes 000 to 199 stay among themselves. A null text stays null, an
-    empty one empty; ids may be null or repeat; other columns are not looked at. There is no shuffle.
+    with the groups beside it is not taken back. Area codes 000 to 199 stay among themselves.
+
+    The formats are the limit: dates as year-month-day, day.month.year or month/day/year, phones of three, three and four digits
+    with or without +1, IPv4 addresses. Of kinds that overlap the one that begins first is taken, then the first of KINDS.
+
+    A null text stays null, an empty one empty; a very long one is searched whole, in time that grows with its length; ids may
+    be null or repeat; other columns are not looked at. There is no shuffle.
     """
     schema = pa.schema([pa.field("id", pa.int64()), pa.field("text", pa.string()), *(pa.field(f"n_{k}", pa.int32()) for k in KINDS)])
     secret = key.encode()
