@@ -126,10 +126,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-hashes.count() // BUCKET))
     runs = LineRuns(ws, min_docs, buckets, fan)
-    for b in range(len(set(cuts or [])) + 1):
-        runs.add(hashes.filter(F.col("batch") == b).select(*KEY, "id"))
-    repeated = ws.save(runs.repeated(), "repeated")
-    runs.forget()
+    try:
+        for b in range(len(set(cuts or [])) + 1):
+            runs.add(hashes.filter(F.col("batch") == b).select(*KEY, "id"))
+        repeated = ws.save(runs.repeated(), "repeated")
+    finally:
+        runs.forget()  # names in the catalog outlive a failure otherwise
 
     perhaps = KeyFilter(repeated, KEY).flag(hashes.drop("batch"), "alive").filter("alive")
     gone = perhaps.join(repeated, KEY).filter(F.col("id") < F.col("last"))
