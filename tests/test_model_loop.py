@@ -135,6 +135,23 @@ def test_store_keeps_runs_and_scores_without_a_fit(spark, skewed, tmp_path, monk
     assert all(r["online_prob"] is None and r["final_score"] == r["batch_prob"] for r in alone)
 
 
+def test_a_run_that_is_saved_again_counts_when_it_is_whole(spark, skewed, tmp_path):
+    store = md.ModelStore(spark, f"file://{tmp_path}/models")
+    model = md.plain_logistic(skewed.limit(200), ["a", "b"])
+    store.save("1", {"batch": model})
+
+    class Lost:
+        def write(self):
+            assert store.runs() == []  # no longer whole, so no longer there
+            raise OSError("the driver is lost")
+
+    with pytest.raises(OSError):
+        store.save("1", {"batch": Lost()})
+    assert store.runs() == []
+    store.save("1", {"batch": model})
+    assert store.runs() == ["1"] and store.contents("1") == {"batch": "model"}
+
+
 def test_history_finds_the_run_before(spark, tmp_path):
     history = mo.MetricHistory(spark, f"file://{tmp_path}/metrics")
     assert history.before("9", "precision").count() == 0
