@@ -37,10 +37,11 @@ def m01(spark, path):
 
 @query("M02_upsert_and_learn")
 def m02(spark, path):
-    """The table after all micro-batches, each row with the online model's probability."""
+    """The table after all micro-batches, each row with the online model's probability. A bar that opens at 0 has no move: it teaches
+    nothing and has no probability."""
     landed, store = scratch(spark, "landed"), scratch(spark, "store")
     b = bars_walk(spark, path)
-    rows = b.select("symbol", "date", ((F.col("close") - F.col("open")) / F.col("open")).alias("move"), (F.col("volume") / 100.0).alias("size"), (F.col("volume") % 2).cast("int").alias("label"))
+    rows = b.select("symbol", "date", F.try_divide(F.col("close") - F.col("open"), "open").alias("move"), (F.col("volume") / 100.0).alias("size"), (F.col("volume") % 2).cast("int").alias("label"))
     rows.repartition(4, "symbol").write.parquet(landed)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     model, batches = st.Learner(spark, scratch(spark, "weights"), ["move", "size"]), []
