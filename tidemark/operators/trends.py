@@ -21,18 +21,19 @@ def indexed(df: DataFrame) -> DataFrame:
 
 def _island_run(df: DataFrame, sign: Column, out: str) -> DataFrame:
     """Signed length of the run of equal signs that ends here; rows whose sign is null carry it on. __new and __isl, which
-    mark and number the runs, stay."""
+    mark and number the runs, stay. A run's bars are counted as running counts less those at its start, so this is windows of
+    one order."""
     df = df.withColumn("__s", sign)
     before = F.last("__s", ignorenulls=True).over(past())
     change = F.when(F.col("__s").isNotNull() & (before.isNull() | (F.col("__s") != before)), 1).otherwise(0)
-    df = df.withColumn("__new", change).withColumn("__isl", F.sum("__new").over(so_far()))
-    run = F.last("__s", ignorenulls=True).over(so_far()) * F.count("__s").over(in_run())
-    return df.withColumn(out, F.coalesce(run, F.lit(0)).cast("int")).drop("__s")
+    df = df.withColumn("__new", change).withColumns({"__isl": F.sum("__new").over(so_far()), "__c": F.count("__s").over(so_far())})
+    run = F.last("__s", ignorenulls=True).over(so_far()) * since_new("__c")
+    return df.withColumn(out, F.coalesce(run, F.lit(0)).cast("int")).drop("__s", "__c")
 
 
-def in_run() -> WindowSpec:
-    """The bars of the current run so far."""
-    return Window.partitionBy("symbol", "__isl").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def since_new(count: str) -> Column:
+    """What a running count has come to in the current run, from the bar on that begins it (__new = 1 there)."""
+    return F.col(count) - F.coalesce(F.last(F.when(F.col("__new") == 1, F.col(count) - 1), ignorenulls=True).over(so_far()), F.lit(0))
 
 
 def _with_prior(df: DataFrame, run: str) -> DataFrame:
@@ -44,15 +45,17 @@ def _with_prior(df: DataFrame, run: str) -> DataFrame:
     extremes are the close at its end and the one at their first bar, whose place is known once the run is whole.
     """
     whole_run = Window.partitionBy("symbol", "__isl")
-    df = df.withColumn("__n", F.count("*").over(in_run()))
+    # Runs are numbered by date, so the order of (__isl, date) is that by date and needs no other sort than whole_run.
+    order = Window.partitionBy("symbol").orderBy("__isl", "date")
+    df = df.withColumn("__r", F.row_number().over(by_symbol())).withColumn("__n", since_new("__r")).drop("__r")
     passed = F.col("__n") - F.abs(run)
     df = df.withColumn("__passed", passed).withColumn("__all_passed", F.max("__passed").over(whole_run))
     df = df.withColumn("__edge", F.max(F.when(F.col("__n") == F.col("__all_passed") + 1, F.col("close"))).over(whole_run))
     up, some = F.col(run) > 0, F.col(run) != 0
     hi, lo = F.when(some, F.when(up, F.col("close")).otherwise(F.col("__edge"))), F.when(some, F.when(up, F.col("__edge")).otherwise(F.col("close")))
     df = df.withColumn("__e", F.struct(F.col(run).alias("run"), hi.alias("hi"), lo.alias("lo")))
-    df = df.withColumn("__before", lag("__e"))
-    df = df.withColumn("__p", F.last(F.when(F.col("__new") == 1, F.col("__before")), ignorenulls=True).over(so_far()))
+    df = df.withColumn("__before", F.lag("__e").over(order))
+    df = df.withColumn("__p", F.last(F.when(F.col("__new") == 1, F.col("__before")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = passed == 0
     df = df.withColumns({"prior": F.when(whole, F.col("__p.run")).otherwise(F.col(run)), "prior_high": F.when(whole, F.col("__p.hi")), "prior_low": F.when(whole, F.col("__p.lo"))})
     return df.drop("__n", "__passed", "__all_passed", "__edge", "__e", "__before", "__p", "__new", "__isl")
@@ -130,20 +133,22 @@ def since_stop(df: DataFrame, name: str, cap: int, c: str, low: str, high: str,
 
     For runs without hard bars. Soft bars cut a symbol's bars into stretches, each begun by one. The bars after the stop are
     the stretch before the last soft bar, less its first bar, and the one that it begins; extremes run along each stretch, and
-    those of a whole stretch are carried on from its last bar. Where `cap` ends the run, a frame of that many bars has
-    them.
+    those of a whole stretch are carried on from its last bar. Stretches are numbered by date, so the greatest pair of number and
+    value so far has the newest stretch's extreme, without another order. Where `cap` ends the run, a frame of that many bars
+    has them.
     """
     i, soft, stop = F.col("idx"), f"__{name}_soft", F.col(f"{name}_stop")
     df = df.withColumns({"__st": F.count(soft).over(so_far()), "__from": F.coalesce(F.last(soft, ignorenulls=True).over(so_far()), F.lit(0))})
-    inside = Window.partitionBy("symbol", "__st").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     later = i > F.col("__from") + skip
     extremes = lambda x, w: F.struct(F.min(x).over(w).alias("lo"), F.max(x).over(w).alias("hi"))
+    most = lambda x: F.max(F.struct(F.col("__st").alias("st"), x.alias("x"))).over(so_far())["x"]
+    inside = lambda x: F.struct((-most(-x)).alias("lo"), most(x).alias("hi"))
     # The second stretch follows on the first: what is still to be skipped of it depends on where the first began.
     owed = lambda first: F.greatest(F.lit(0), F.lit(skip + 1) - (F.col("__from") - first))
     begun = F.coalesce(F.last(F.when(F.col(soft).isNotNull(), F.col("__soft0")), ignorenulls=True).over(so_far()), F.lit(0))
     df = df.withColumn("__soft0", F.coalesce(F.last(soft, ignorenulls=True).over(past()), F.lit(0))).withColumn("__s2", begun)
-    df = df.withColumn("__own", extremes(F.when(later, F.col(c)), inside))
-    df = df.withColumn("__all", extremes(F.when(i >= F.col("__from") + owed(F.col("__s2")), F.col(c)), inside)).withColumn("__own1", lag("__own"))
+    df = df.withColumn("__own", inside(F.when(later, F.col(c))))
+    df = df.withColumn("__all", inside(F.when(i >= F.col("__from") + owed(F.col("__s2")), F.col(c)))).withColumn("__own1", lag("__own"))
     df = df.withColumn("__before", F.last(F.when(F.col(soft).isNotNull(), F.col("__own1")), ignorenulls=True).over(so_far()))
     frame = by_symbol().rowsBetween(-(cap - 1 - skip), 0)
     df = df.withColumn("__cap", extremes(F.when(i > skip, F.col(c)), frame))
@@ -347,8 +352,7 @@ def counters(df: DataFrame) -> DataFrame:
     change = F.col("close") - lag("close")
     sign = F.when(change > 0, 1).when(change < 0, -1).otherwise(0)
     df = df.withColumn("__sg", sign)
-    length = Window.partitionBy("symbol", "__i2").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__new", F.when(F.col("__sg").eqNullSafe(lag("__sg")), 0).otherwise(1)).withColumn("__i2", F.sum("__new").over(so_far())).withColumn("__len", F.count("*").over(length))
+    df = df.withColumn("__new", F.when(F.col("__sg").eqNullSafe(lag("__sg")), 0).otherwise(1)).withColumn("__r", F.row_number().over(by_symbol())).withColumn("__len", since_new("__r"))
     df = df.withColumn("consec_down", F.when(F.col("__sg") == -1, F.least("__len", F.lit(50))).otherwise(0)).withColumn("consec_up", F.when(F.col("__sg") == 1, F.least("__len", F.lit(50))).otherwise(0))
     v = F.col("volume").cast("double")
-    return df.withColumn("vol_ratio_4_11", (F.avg(v).over(rows(4)) + 1e-9) / (F.avg(v).over(rows(11)) + 1e-9)).drop("__sg", "__new", "__i2", "__len")
+    return df.withColumn("vol_ratio_4_11", (F.avg(v).over(rows(4)) + 1e-9) / (F.avg(v).over(rows(11)) + 1e-9)).drop("__sg", "__new", "__r", "__len")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import emas
+from tidemark.functions.windows import by_symbol, emas
 from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 from tidemark.plans.indicators import DI, DI_TREND, RSI, SIGNIFICANT, WALK, register
@@ -222,5 +221,4 @@ def tail_trend(spark, path):
     them."""
     df = tr.combined_trend(labelled(tables.bars(bars_raw(spark, path), tail_bars=TAIL)))
     columns = ["symbol", "date", "trend", "trend_label", F.round("ema200", 6).alias("ema200"), F.round("adx", 6).alias("adx")]
-    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    return df.withColumn("back", newest).filter("back = 1").select(*columns)
+    return df.withColumn("next", F.lead("date").over(by_symbol())).filter("next is null").select(*columns)
