@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import by_symbol
-from tidemark.operators.monitor import with_below
 
 
 def lead(c: str, n: int) -> Column:
@@ -83,20 +82,28 @@ def is_train(key: Column, parts: int = 5) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint"), F.lit(parts)) != 0
 
 
+BLOCK_BITS = 16  # 65,536 ranges of hashes that a class's rows are counted by
+
+
 def stratified_split(df: DataFrame, label: str, key: Column, share: float = 0.8) -> DataFrame:
     """train: true for the first floor(share * n) of each class's n rows, by the order of a hash of key.
 
-    The split is the same on every run and exact in each class. A row's place is a sum over blocks of hashes, so no task
-    orders a whole class. Rows with equal keys go to one side together; rows without a label have no side.
+    The split is the same on every run and exact in each class. Hashes are even, so a class is counted by equal ranges of
+    them, and only rows of the range that the share ends in are counted one by one: what is found is the last hash of
+    each class that trains, and no row is shuffled. Rows with equal keys go to one side together; rows without a label
+    have no side. df is read three times.
     """
-    order = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
+    order = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")  # 60 bits
     rows = df.withColumn("__hash", order)
-    counts = rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label"), F.col("__hash").alias("__at")).agg(F.count("*").alias("__n"))
-    total = counts.groupBy(F.col("__label").alias("__of")).agg(F.sum("__n").alias("__all"))  # a row a class
-    placed = with_below(counts, "__label", "__at", ["__n"]).join(total, F.col("__label") == F.col("__of"))
-    placed = placed.select("__label", "__at", (F.col("below___n") < F.floor(F.col("__all") * share)).alias("train"))
-    same = (F.col(label) == F.col("__label")) & (F.col("__hash") == F.col("__at"))
-    return rows.join(placed, same, "left").drop("__hash", "__label", "__at")
+    some = rows.filter(F.col(label).isNotNull()).select(F.col(label).alias("__label"), F.col("__hash").alias("__at"), F.shiftright("__hash", 60 - BLOCK_BITS).alias("__block"))
+    counts = some.groupBy(F.col("__label").alias("__of"), F.col("__block").alias("__in")).agg(F.count("*").alias("__n"))
+    before = lambda by, *at: F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"__below": before("__of", "__in"), "__cut": F.floor(F.sum("__n").over(Window.partitionBy("__of")) * share)})  # 65,536 rows a class
+    cuts = counts.filter("__below < __cut and __cut <= __below + __n").drop("__n")  # a row a class
+    inside = some.join(F.broadcast(cuts), (F.col("__label") == F.col("__of")) & (F.col("__block") == F.col("__in"))).groupBy("__label", "__at", "__below", "__cut").agg(F.count("*").alias("__n"))
+    last = inside.withColumn("__below", F.col("__below") + before("__label", "__at")).filter("__below < __cut").groupBy("__label").agg(F.max("__at").alias("__last"))
+    split = rows.join(F.broadcast(last), F.col(label) == F.col("__label"), "left")
+    return split.withColumn("train", F.when(F.col(label).isNotNull(), F.coalesce(F.col("__hash") <= F.col("__last"), F.lit(False)))).drop("__hash", "__label", "__last")
 
 
 def scaling(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -108,7 +108,9 @@ HASHED = "cast('0x' || substr(md5(symbol || '|' || cast(date as varchar)), 1, 15
 @query("K09_splits", SPLITS.sql(f"select symbol, date, label, case when label is not null then case when row_number() over (partition by label order by {HASHED}) <= floor(count(*) over (partition by label) * 0.8) then 'train' else 'validation' end end as side, case when row_number() {OVER} <= floor(count(*) over (partition by symbol) * 0.8) then 'train' else 'test' end as part from lab"))
 def k09(spark, path):
     """Four fifths of each class of the barrier labels, and of each symbol's bars by time."""
-    rows = lb.time_split(lb.triple_barrier(bars_walk(spark, path))).select("symbol", "date", F.col("label_success").alias("label"), "part")
+    rows, to = lb.time_split(lb.triple_barrier(bars_walk(spark, path))).select("symbol", "date", F.col("label_success").alias("label"), "part"), scratch(spark, "splits")
+    rows.write.parquet(to)  # the labels cost most and are read three times
+    rows = spark.read.parquet(to)
     split = lb.stratified_split(rows, "label", F.concat_ws("|", "symbol", F.col("date").cast("string")))
     return split.withColumn("side", F.when(F.col("train"), "train").when(~F.col("train"), "validation")).drop("train")
 
