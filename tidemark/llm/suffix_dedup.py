@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import KeyFilter, Workspace, forget_shuffles, shuffle_partitions
+from tidemark.llm.common import KeyFilter, Workspace, forget_shuffles, released, shuffle_partitions
 from tidemark.llm.shingles import M3, PLACE, scrambled
 
 GRAM = 24  # bytes of the grams whose least hash names a window
@@ -493,22 +493,28 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     own = base.filter("doc is not null")
     least = shuffle_partitions(spark)
     parts = max(least, -(-(own.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // part_bytes))
-    sent = own.mapInArrow(_emit_runs(width), _ddl(RUNS))
-    first = ws.save(sent.repartition(parts, "deal").mapInArrow(_judge_names, _ddl(JUDGED)), "first")
+    sent = own.mapInArrow(released(_emit_runs(width)), _ddl(RUNS))
+    judged = sent.repartition(parts, "deal").mapInArrow(released(_judge_names), _ddl(JUDGED))
+    first = ws.save(judged.withColumn("met", F.col("name").isNotNull()), "first", "met")
     forget_shuffles(spark)
 
-    asked = first.filter("name is not null")
+    asked = first.filter("met")
+    parts = max(least, -(-asked.count() * 2 * width // part_bytes))
     heavy = ws.save(asked.groupBy("name").count().filter(F.col("count") > HEAVY).select(F.col("name").alias("heavy_name")), "heavy")
     asked = asked.join(heavy, asked["name"] == heavy["heavy_name"], "left").select("doc", "tag", F.struct("span", "name", F.col("heavy_name").isNotNull().alias("heavy")).alias("ask"))
     asked = ws.save(asked.groupBy("doc", "tag").agg(F.collect_set("ask").alias("asked")), "asked")  # bounded by the text's length
+    ws.drop("first/met=true", "heavy")
     forget_shuffles(spark)
     texts = KeyFilter(asked.select("doc"), ["doc"]).flag(own, "wanted").filter("wanted").select("doc", "tag", "body")
-    placed = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "body", "asked").mapInArrow(_emit_texts(width), _ddl(PLACED))
-    parts = max(least, -(-first.filter("name is not null").count() * 2 * width // part_bytes))
-    second = ws.save(placed.repartition(parts, "route").mapInArrow(_judge_texts(width), _ddl(JUDGED)), "second")
+    placed = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "body", "asked").mapInArrow(released(_emit_texts(width)), _ddl(PLACED))
+    second = ws.save(placed.repartition(parts, "route").mapInArrow(released(_judge_texts(width)), _ddl(JUDGED)), "second")
+    ws.drop("asked")
+    forget_shuffles(spark)
 
-    marks = first.filter("name is null").select("doc", "tag", "span").unionByName(second.select("doc", "tag", "span"))
+    marks = first.filter("not met").select("doc", "tag", "span").unionByName(second.select("doc", "tag", "span"))
     marks = ws.save(marks.groupBy("doc", "tag").agg(F.collect_set("span").alias("spans")), "marks")
+    ws.drop("first", "second")
+    forget_shuffles(spark)
     flagged = KeyFilter(marks.select("doc"), ["doc"]).flag(base, "hit")
     clear = flagged.filter("not hit").select(F.col("doc").alias("id"), "body", F.lit(None).cast("array<bigint>").alias("spans"))
     hit = flagged.filter("hit").join(marks, ["doc", "tag"], "left").select(F.col("doc").alias("id"), "body", "spans")
