@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import suffix_dedup as sd
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import Workspace, ship_package
 
 
 def brute(rows, width=100):
@@ -91,3 +91,13 @@ def test_deep_shallow_sorts():
         strings = [(int(group[i]), bytes(data[at[i] : at[i] + width[i]])) for i in order]
         assert strings == sorted(strings) and sorted(order.tolist()) == list(range(n))
         assert new.tolist() == [i == 0 or strings[i] != strings[i - 1] for i in range(n)]
+
+
+def test_tables_leave_the_disk_when_a_step_is_over(spark, tmp_path):
+    ws = Workspace(spark, "freed")
+    ws.root = f"file://{tmp_path}/freed"
+    text = "".join(f"line {i} of a passage that repeats, {i * i}; " for i in range(200))
+    docs = spark.createDataFrame([(i, f"{i} {text} {i}") for i in range(6)], "doc_id long, text string")
+    got = {r["id"]: r["n_removed"] for r in sd.remove_repeats(docs, ws=ws).collect()}
+    assert got[0] == 0 and all(got[i] >= len(text) for i in range(1, 6))
+    assert {p.name for p in (tmp_path / "freed").iterdir() if p.is_dir()} == {"marks"}
