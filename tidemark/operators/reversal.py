@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_symbol, ema, emas, lag, rows, so_far
+from tidemark.functions.windows import by_symbol, in_steps, lag, rows, so_far
 from tidemark.operators import indicators as ind
 from tidemark.operators import trends as tr
 
 EPS = 1e-9
 SLOPE_BARS = 10
+LEAST_PRIOR = 5  # bars of a prior run that a candidate needs
 
-
-CAP = 200  # bars that a tolerant run goes back at most
 SIDES = {"bull": ("up", "down"), "bear": ("down", "up")}  # the latest run and the one before it
 
 
@@ -22,33 +21,46 @@ def detector_panel(df: DataFrame) -> DataFrame:
 
     A candidate's latest run stops at p1, the last bar of the run before it, which in turn stops at the bar before p0. Each
     value at p1, p0 and the bars next to them is carried along the symbol's bars with the runs (at_stop), the second kind
-    within the first, so all of it is windows of one order: no bar is looked up by number.
+    within the first, so all of it is windows of one order: no bar is looked up by number. What depends on p1 and p0 alone is
+    computed at p1, and both sides take their steps together.
     """
-    df = ema(ind.mfi(ind.obv(ind.atr(ind.directional(ind.macd(ind.rsi_simple(df, out="rsi")))))), "close", 8, "ema8")
-    df = tr.reversal_runs(df, keep_flags=True)
+    df = ind.price_means(df, 8)
+    df = in_steps(df, ind.rsi_simple_steps(out="rsi"), ind.mfi_steps(), ind.obv_steps(), tr.reversal_run_steps())
+    df = df.drop("__up", "__down", "__in", "__out", "__enough", "__signed", *tr.REVERSAL_HELPERS)
     i, c, v = F.col("idx").cast("double"), F.col("close"), F.col("volume").cast("double")
     sums = {"s_c": F.sum(c), "s_ic": F.sum(i * c), "s_v": F.sum(v), "s_above": F.sum((F.col("macd") > F.col("macd_signal")).cast("int"))}
-    df = df.withColumns({k: x.over(so_far()) for k, x in sums.items()})
-    df = df.withColumns({"hist_step": F.col("macd_hist") - lag("macd_hist"), "vol20": F.avg(v).over(rows(20)), "ema8_3": lag("ema8", 3)})
-    # Sums before the last slope_bars bars: a bounded list, as the bar that is meant depends on the run's length.
-    df = df.withColumns({"__obv1": F.lead("obv").over(by_symbol()), "__adx1": F.lead("adx").over(by_symbol()), "__sums": F.collect_list(F.struct("s_c", "s_ic")).over(rows(SLOPE_BARS + 1))})
-    for side, (now, before) in SIDES.items():
-        older = {f"{side}_pre_price": "close", f"{side}_v_before": "s_v", f"{side}_obv_p0": "__obv1", f"{side}_adx_p0": "__adx1"}
-        df = tr.at_stop(df, before, CAP, {f"__{k}": x for k, x in older.items()})
-        at = F.size("__sums") - 1 - F.least(F.lit(SLOPE_BARS), F.col(f"{before}_n"))
-        df = df.withColumn("__w", F.when(at >= 0, F.get("__sums", at.cast("int"))))
-        df = df.withColumns({"__w_c": F.coalesce("__w.s_c", F.lit(0.0)), "__w_ic": F.coalesce("__w.s_ic", F.lit(0.0))})
-        newer = {"end_price": "close", "end_c": "s_c", "end_ic": "s_ic", "v_p1": "s_v", "above_p1": "s_above", "obv_l0": "__obv1", "w_c": "__w_c", "w_ic": "__w_ic"}
-        df = tr.at_stop(df, now, CAP, {f"{side}_{k}": x for k, x in newer.items()} | {k: f"__{k}" for k in older})
-        df = tr.since_stop(df, now, CAP, "hist_step", f"{side}_step_lo", f"{side}_step_hi", skip=1)
-        df = df.drop("__w", "__w_c", "__w_ic", *(f"__{k}" for k in older))
-    return df.drop("__obv1", "__adx1", "__sums", *tr.flags("up", "down"))
+    now = {k: x.over(so_far()) for k, x in sums.items()} | {"hist_step": F.col("macd_hist") - lag("macd_hist"), "vol20": F.avg(v).over(rows(20)), "ema8_3": lag("ema8", 3)}
+    df = df.withColumns(now | {"__obv1": F.lead("obv").over(by_symbol()), "__adx1": F.lead("adx").over(by_symbol())})
+    older = {"v_before": "s_v", "obv_p0": "__obv1", "adx_p0": "__adx1", "pre_price": "close"}
+    each = [(side, *names) for side, names in SIDES.items()]
+    lagged = {f"__s{n}": lag(F.struct("s_c", "s_ic"), n) for n in range(LEAST_PRIOR, SLOPE_BARS + 1)}
+    first = [tr.at_stop_steps(before, tr.CAP, {f"__{side}_{k}": x for k, x in older.items()}, False) for side, _, before in each]
+    df = in_steps(df, [{}, lagged], *first).drop(*(x for _, _, before in each for x in tr.at_stop_helpers(before)))
+    # What a prior run that ends at this bar hands to the runs that stop here.
+    for side, _, before in each:
+        n, stop, at = F.col(f"{before}_n"), F.col(f"{before}_stop"), lambda x, side=side: F.col(f"__{side}_{x}")
+        sum_before = F.coalesce(*(F.when(F.least(n, F.lit(SLOPE_BARS)) == k, F.col(f"__s{k}")) for k in range(LEAST_PRIOR, SLOPE_BARS + 1)))
+        w0 = F.greatest(F.col("idx") - F.least(F.lit(SLOPE_BARS), n) + 1, F.lit(0))
+        less = lambda x, s=sum_before: F.col(x) - F.coalesce(s[x], F.lit(0.0))
+        df = df.withColumns({
+            f"__{side}_slope": _slope(F.col("idx") - w0 + 1, w0, less("s_c"), less("s_ic")), f"__{side}_move": (F.col("close") - at("pre_price")) / (at("pre_price") + EPS),
+            f"__{side}_volume": F.try_divide(F.col("s_v") - at("v_before"), F.col("idx") - stop),
+        })
+    df = df.drop(*lagged, *(f"__{side}_{k}" for side in SIDES for k in ("v_before", "pre_price")))
+    newer = {"end_price": "close", "end_c": "s_c", "end_ic": "s_ic", "v_p1": "s_v", "above_p1": "s_above", "obv_l0": "__obv1"}
+    plans, helpers = [tr.last_extremes(F.when(F.col("idx") > 1, F.col("hist_step")), tr.CAP - 1, tr.CAPPED)], [tr.CAPPED, "__obv1", "__adx1", *tr.flags("up", "down")]
+    for side, now, before in each:
+        held = {f"{side}_{k}": x for k, x in newer.items()} | {f"{side}_{k}": f"__{side}_{k}" for k in ("slope", "move", "volume", "obv_p0", "adx_p0")}
+        held |= {f"prior_{before}_n": f"{before}_n", f"prior_{before}_stop": f"{before}_stop"}
+        plans += [tr.at_stop_steps(now, tr.CAP, held, False), tr.since_stop_steps(now, "hist_step", f"{side}_step_lo", f"{side}_step_hi", skip=1)]
+        helpers += [*tr.at_stop_helpers(now), *tr.since_stop_helpers(now), *(x for x in held.values() if x.startswith(f"__{side}"))]
+    return in_steps(df, *plans).drop(*helpers)
 
 
 def is_candidate(side: str) -> Column:
-    """A prior run of at least 5 bars against a shorter latest one."""
+    """A prior run of at least LEAST_PRIOR bars against a shorter latest one."""
     now, before = ("up", "prior_down") if side == "bull" else ("down", "prior_up")
-    return (F.col(f"{before}_n") >= 5) & (F.col(f"{now}_n") >= 1) & (F.col(f"{before}_n") > F.col(f"{now}_n")) & (F.col("idx") >= 29)
+    return (F.col(f"{before}_n") >= LEAST_PRIOR) & (F.col(f"{now}_n") >= 1) & (F.col(f"{before}_n") > F.col(f"{now}_n")) & (F.col("idx") >= 29)
 
 
 def _slope(n: Column, first: Column, s: Column, si: Column) -> Column:
@@ -58,10 +70,9 @@ def _slope(n: Column, first: Column, s: Column, si: Column) -> Column:
 
 
 def _bounds(side: str) -> dict[str, Column]:
-    """prior_len, latest_len, p0 (first bar of the prior run), p1 (its last), and l0 (first of the latest)."""
+    """prior_len, latest_len, and l0 (first bar of the latest run)."""
     now, before = ("up", "prior_down") if side == "bull" else ("down", "prior_up")
-    stop = F.col(f"{now}_stop")
-    return {"prior_len": F.col(f"{before}_n"), "latest_len": F.col(f"{now}_n"), "p1": stop, "p0": F.col(f"{before}_stop") + 1, "l0": stop + 1}
+    return {"prior_len": F.col(f"{before}_n"), "latest_len": F.col(f"{now}_n"), "l0": F.col(f"{now}_stop") + 1}
 
 
 def _unit(x: Column) -> Column:
@@ -73,13 +84,10 @@ def pattern_scores(df: DataFrame, min_move: float = 0.03) -> DataFrame:
     candidate. Needs detector_panel."""
     for side in SIDES:
         v, b = (lambda x, side=side: F.col(f"{side}_{x}")), _bounds(side)
-        prior_move = (v("end_price") - v("pre_price")) / (v("pre_price") + EPS)
         latest_move = (F.col("close") - v("end_price")) / (v("end_price") + EPS)
         sign = -1 if side == "bull" else 1
-        w0 = F.greatest(b["p1"] - F.least(F.lit(SLOPE_BARS), b["prior_len"]) + 1, F.lit(0))
-        prior_slope = _slope(b["p1"] - w0 + 1, w0, v("end_c") - v("w_c"), v("end_ic") - v("w_ic"))
         latest_slope = _slope(F.col("idx") - b["l0"] + 1, b["l0"], F.col("s_c") - v("end_c"), F.col("s_ic") - v("end_ic"))
-        df = df.withColumns({"__prior": sign * prior_move, "__latest": -sign * latest_move, "__s1": prior_slope, "__s2": latest_slope})
+        df = df.withColumns({"__prior": sign * v("move"), "__latest": -sign * latest_move, "__s1": v("slope"), "__s2": latest_slope})
         prior, latest = F.col("__prior"), F.col("__latest")
         time = (b["prior_len"] - b["latest_len"]) / (b["prior_len"] + EPS)
         magnitude = 1 - _unit(latest / (latest + prior + EPS))
@@ -101,9 +109,8 @@ def confirm_score(side: str, market: Column | None = None, max_atr: float = 0.12
     last_step = F.when(F.col("idx") > b["l0"], F.col("hist_step")).otherwise(0.0)
     lo, hi = F.least(F.coalesce(v("step_lo"), F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce(v("step_hi"), F.lit(0.0)), F.lit(0.0))
     macd_ok = F.when(F.col("s_above") - v("above_p1") > 0, 1.0).otherwise(_unit((last_step - lo) / (F.abs(hi) + EPS)))
-    prior_n, latest_n = b["p1"] - b["p0"] + 1, F.col("idx") - b["l0"] + 1
-    v_prior, v_latest = (v("v_p1") - v("v_before")) / prior_n, (F.col("s_v") - v("v_p1")) / latest_n
-    ratio = _unit(((v_latest + EPS) / (v_prior + EPS) - 0.75) / 2.25)
+    v_latest = (F.col("s_v") - v("v_p1")) / (F.col("idx") - b["l0"] + 1)
+    ratio = _unit(((v_latest + EPS) / (v("volume") + EPS) - 0.75) / 2.25)
     obv_ok = F.when(F.col("obv") > v("obv_l0"), 1.0).otherwise(least0((F.col("obv") - v("obv_p0")) / (F.abs(v("obv_p0")) + EPS)))
     e = F.col("ema8")
     ema_ok = F.when((px > e) & (e > F.col("ema8_3")), 1.0).otherwise(least0((px - e) / (e + EPS)))
@@ -169,25 +176,35 @@ def market_factor(df: DataFrame, index: DataFrame, side: str) -> DataFrame:
 
 def ml_panel(df: DataFrame) -> DataFrame:
     """The columns that the RSI-extreme detector reads; look-backs of 30 bars for the slow mean."""
-    df = ind.volume_spike(ind.bb_shape(ind.bollinger(ind.atr(ind.directional(ind.macd(ind.rsi_wilder(ind.mfi(df))))))))
-    return tr.indexed(ind.candles(ind.ema_slopes(emas(df, "close", 20, 50))))
+    df = ind.price_means(df, 20, 50, wilder=True)
+    df = ind.mfi(ind.candles(ind.ema_slopes(ind.volume_spike(ind.bollinger(tr.indexed(df))))))
+    return ind.bb_shape(df)
 
 
 def rsi_extreme_candidates(df: DataFrame, look_back: int = 30, warmup: int = 52) -> DataFrame:
     """side: 1 or -1 where RSI turns at an extreme after a prolonged trend the other way, else 0. Needs ml_panel."""
     before = by_symbol().rowsBetween(-look_back, -1)
     above, below = F.col("close") > F.col("ema50"), F.col("close") < F.col("ema50")
-    df = df.withColumn("__a", above.cast("int")).withColumn("__b", below.cast("int")).withColumn("__rsi1", lag("rsi"))
-    mid = lambda c: F.expr(f"percentile({c}, 0.5)").over(before)
     three = by_symbol().rowsBetween(-3, -1)
+    # Few bars come to a median, so the values are held as short lists and ordered only there.
+    lists = {f"__{c}": F.collect_list(c).over(before) for c in ("adx", "plus_di", "minus_di")}
+    counts = {"__ra": F.avg("__a").over(before), "__rb": F.avg("__b").over(before), "__a3": F.sum("__a").over(three), "__b3": F.sum("__b").over(three), "__rsi1": lag("rsi")}
+    df = df.withColumns({"__a": above.cast("int"), "__b": below.cast("int")}).withColumns(lists | counts)
     ready = (F.col("idx") >= warmup) & (F.least(F.col("idx"), F.lit(look_back)) >= 12)
-    adx_ok = mid("adx") >= 15
-    up = (F.avg("__a").over(before) >= 0.5) & adx_ok & (mid("plus_di") > mid("minus_di")) & (F.col("ema_slow_slope") >= 0.005) & (F.sum("__a").over(three) == 3)
-    down = (F.avg("__b").over(before) >= 0.5) & adx_ok & (mid("minus_di") > mid("plus_di")) & (F.col("ema_slow_slope") <= -0.005) & (F.sum("__b").over(three) == 3)
+    up = (F.col("__ra") >= 0.5) & (F.col("ema_slow_slope") >= 0.005) & (F.col("__a3") == 3)
+    down = (F.col("__rb") >= 0.5) & (F.col("ema_slow_slope") <= -0.005) & (F.col("__b3") == 3)
     bear = (F.col("__rsi1") > 70) & (F.col("rsi") < F.col("__rsi1"))
     bull = (F.col("__rsi1") < 30) & (F.col("rsi") > F.col("__rsi1"))
-    side = F.when(ready & bull & down, 1).when(ready & bear & up, -1).otherwise(0)
-    return df.withColumn("side", side).drop("__a", "__b", "__rsi1")
+    adx, plus, minus = (_median(F.col(c)) for c in lists)
+    trend = lambda greater, less, side: F.when((adx >= 15) & (greater > less), side).otherwise(0)
+    side = F.when(ready & bull & down, trend(minus, plus, 1)).when(ready & bear & up, trend(plus, minus, -1)).otherwise(0)
+    return df.withColumn("side", side).drop("__a", "__b", *lists, *counts)
+
+
+def _median(values: Column) -> Column:
+    """The middle value of an array, or the mean of the middle two."""
+    ordered, n = F.sort_array(values), F.size(values)
+    return 0.5 * F.get(ordered, F.floor((n - 1) / 2).cast("int")) + 0.5 * F.get(ordered, F.floor(n / 2).cast("int"))
 
 
 def rule_score(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_symbol, lag, rows, so_far
+from tidemark.functions.windows import by_symbol, in_steps, lag, rows, so_far
 from tidemark.operators import indicators as ind
 
 
@@ -94,38 +94,68 @@ def current_and_prior(df: DataFrame, min_prior: int = 4) -> DataFrame:
     return df.withColumns({n: F.when(ok, c) for n, c in found.items()}).drop("prior")
 
 
-def tolerant_run(df: DataFrame, good: Column, soft: Column, hard: Column, name: str, cap: int) -> DataFrame:
+def tolerant_run(df: DataFrame, soft: Column, hard: Column | None, name: str, cap: int) -> DataFrame:
     """{name}_n: good bars of the run that ends here; {name}_stop: the number of the bar it stops at.
 
     Walking back, one soft bar is passed over; a hard one, the second soft one, the first bar of the symbol or `cap` steps
     end the run. Needs idx; __{name}_soft and __{name}_hard stay for at_stop.
     """
+    return in_steps(df, tolerant_steps(soft, hard, name, cap)).drop(*tolerant_helpers(name))
+
+
+def tolerant_helpers(name: str) -> list[str]:
+    return [f"__{name}_{k}" for k in ("before", "last", "hard1", "second")]
+
+
+def tolerant_steps(soft: Column, hard: Column | None, name: str, cap: int) -> list[dict[str, Column]]:
     i = F.col("idx")
-    real = i > 0
-    s, h = f"__{name}_soft", f"__{name}_hard"
-    df = df.withColumns({s: F.when(real & soft, i), h: F.when(real & hard, i)})
-    df = df.withColumns({"__soft_before": F.coalesce(F.last(s, ignorenulls=True).over(past()), F.lit(0)), "__soft1": F.last(s, ignorenulls=True).over(so_far()), "__hard1": F.last(h, ignorenulls=True).over(so_far())})
-    df = df.withColumn("__second", F.last(F.when(F.col(s).isNotNull(), F.col("__soft_before")), ignorenulls=True).over(so_far()))
-    df = df.withColumn(f"{name}_stop", F.greatest(F.coalesce("__second", F.lit(0)), F.coalesce("__hard1", F.lit(0)), i - cap, F.lit(0)))
-    passed = F.when(F.col("__soft1") > F.col(f"{name}_stop"), 1).otherwise(0)
-    return df.withColumn(f"{name}_n", i - F.col(f"{name}_stop") - passed).drop("__soft_before", "__second", "__soft1", "__hard1")
+    s, h, before, last, hard1, second = (f"__{name}_{k}" for k in ("soft", "hard", "before", "last", "hard1", "second"))
+    marks = {s: F.when((i > 0) & soft, i)} | ({} if hard is None else {h: F.when((i > 0) & hard, i)})
+    found = {before: F.coalesce(F.last(s, ignorenulls=True).over(past()), F.lit(0)), last: F.last(s, ignorenulls=True).over(so_far())}
+    if hard is not None:
+        found[hard1] = F.last(h, ignorenulls=True).over(so_far())
+    stops = [F.coalesce(second, F.lit(0)), i - cap, F.lit(0), *([] if hard is None else [F.coalesce(hard1, F.lit(0))])]
+    stop = {f"{name}_stop": F.greatest(*stops)}
+    passed = F.when(F.col(last) > F.col(f"{name}_stop"), 1).otherwise(0)
+    return [marks, found, {second: F.last(F.when(F.col(s).isNotNull(), F.col(before)), ignorenulls=True).over(so_far())}, stop, {f"{name}_n": i - F.col(f"{name}_stop") - passed}]
 
 
 def at_stop(df: DataFrame, name: str, cap: int, values: dict[str, str]) -> DataFrame:
     """Values (new name: column) of the bar that the tolerant run `name` stops at.
 
-    That bar is the soft bar before the last one, the last hard bar, the bar `cap` back or the first: the values of each
-    are carried along the symbol's bars, so all of it is windows of one order, and no bar is looked up by number.
+    That bar is the soft bar before the last one (or the first bar, where there is none), the last hard bar, or the bar `cap` back: the
+    values of each are carried along the symbol's bars, so all of it is windows of one order, and no bar is looked up by number.
     """
-    df = df.withColumn("__v", F.struct("idx", *(F.col(c).alias(n) for n, c in values.items())))
-    carried = lambda mark, window: F.last(F.when(F.col(mark).isNotNull(), F.col("__v")), ignorenulls=True).over(window)
-    s = f"__{name}_soft"
-    df = df.withColumns({"__v0": F.first("__v").over(so_far()), "__vs": carried(s, past()), "__vh": carried(f"__{name}_hard", so_far()), "__vc": lag("__v", cap)})
-    df = df.withColumn("__v2", F.last(F.when(F.col(s).isNotNull(), F.coalesce("__vs", "__v0")), ignorenulls=True).over(so_far()))
-    stop = F.col(f"{name}_stop")
-    found = F.when(stop == F.col("__v2.idx"), F.col("__v2")).when(stop == F.col("__vh.idx"), F.col("__vh")).when(stop == F.col("__vc.idx"), F.col("__vc")).otherwise(F.col("__v0"))
-    df = df.withColumn("__v", found)
-    return df.withColumns({n: F.col(f"__v.{n}") for n in values}).drop("__v", "__v0", "__vs", "__vh", "__vc", "__v2")
+    return in_steps(df, at_stop_steps(name, cap, values, f"__{name}_hard" in df.columns)).drop(*at_stop_helpers(name))
+
+
+def at_stop_helpers(name: str) -> list[str]:
+    return [f"__{name}_{k}" for k in ("v", "vs", "vc", "vh", "v2", "found")]
+
+
+def at_stop_steps(name: str, cap: int, values: dict[str, str], hard: bool) -> list[dict[str, Column]]:
+    v, vs, vc, vh, v2, found = at_stop_helpers(name)
+    mark, stop = F.col(f"__{name}_soft").isNotNull() | (F.col("idx") == 0), F.col(f"{name}_stop")
+    carried = lambda when, c, window: F.last(F.when(when, c), ignorenulls=True).over(window)
+    held = {vs: carried(mark, F.col(v), past()), vc: lag(v, cap)} | ({vh: carried(F.col(f"__{name}_hard").isNotNull(), F.col(v), so_far())} if hard else {})
+    chosen = F.when(stop == F.col(f"{v2}.idx"), F.col(v2))
+    if hard:
+        chosen = chosen.when(stop == F.col(f"{vh}.idx"), F.col(vh))
+    picked = {n: F.col(f"{found}.{n}") for n in values}
+    return [{v: F.struct("idx", *(F.col(c).alias(n) for n, c in values.items()))}, held, {v2: carried(mark, F.coalesce(vs, v), so_far())}, {found: chosen.otherwise(F.col(vc))}, picked]
+
+
+def last_extremes(c: Column, n: int, out: str) -> list[dict[str, Column]]:
+    """Steps to out, the extremes (lo, hi) of c over the last n bars: of the last 6, of the last 36 from those of 6, and so on, so that
+    their cost grows with the logarithm of n."""
+    steps, width, now = [{out: F.struct(c.alias("lo"), c.alias("hi"))}], 1, F.col(out)
+    while width < n:
+        back = sorted({min(k * width, n - width) for k in range(1, 6)})
+        at = [now, *(lag(out, k) for k in back)]
+        both = lambda f, k, at=at: f(*(x[k] for x in at))
+        steps.append({out: F.struct(both(F.least, "lo").alias("lo"), both(F.greatest, "hi").alias("hi"))})
+        width = min(n, 6 * width)
+    return steps
 
 
 def since_stop(df: DataFrame, name: str, cap: int, c: str, low: str, high: str, skip: int = 0) -> DataFrame:
@@ -134,44 +164,63 @@ def since_stop(df: DataFrame, name: str, cap: int, c: str, low: str, high: str,
     For runs without hard bars. Soft bars cut a symbol's bars into stretches, each begun by one. The bars after the stop are
     the stretch before the last soft bar, less its first bar, and the one that it begins; extremes run along each stretch, and
     those of a whole stretch are carried on from its last bar. Stretches are numbered by date, so the greatest pair of number and
-    value so far has the newest stretch's extreme, without another order. Where `cap` ends the run, a frame of that many bars
-    has them.
+    value so far has the newest stretch's extreme, without another order. Where `cap` ends the run, the extremes of as many last
+    bars are its own (last_extremes).
     """
-    i, soft, stop = F.col("idx"), f"__{name}_soft", F.col(f"{name}_stop")
-    df = df.withColumns({"__st": F.count(soft).over(so_far()), "__from": F.coalesce(F.last(soft, ignorenulls=True).over(so_far()), F.lit(0))})
-    later = i > F.col("__from") + skip
-    extremes = lambda x, w: F.struct(F.min(x).over(w).alias("lo"), F.max(x).over(w).alias("hi"))
-    most = lambda x: F.max(F.struct(F.col("__st").alias("st"), x.alias("x"))).over(so_far())["x"]
+    df = in_steps(df, last_extremes(F.when(F.col("idx") > skip, F.col(c)), cap - skip, CAPPED))
+    return in_steps(df, since_stop_steps(name, c, low, high, skip)).drop(*since_stop_helpers(name), CAPPED)
+
+
+CAPPED = "__capped"
+
+
+def since_stop_helpers(name: str) -> list[str]:
+    return [f"__{name}_{k}" for k in ("st", "from", "soft0", "s2", "own", "all", "own1", "old")]
+
+
+def since_stop_steps(name: str, c: str, low: str, high: str, skip: int = 0) -> list[dict[str, Column]]:
+    """The steps of since_stop; the fifth reads CAPPED."""
+    i, soft, stop = F.col("idx"), F.col(f"__{name}_soft"), F.col(f"{name}_stop")
+    st, start, soft0, s2, own, whole, own1, old = since_stop_helpers(name)
+    marked = {st: F.count(soft).over(so_far()), start: F.coalesce(F.last(soft, ignorenulls=True).over(so_far()), F.lit(0)), soft0: F.coalesce(F.last(soft, ignorenulls=True).over(past()), F.lit(0))}
+    later = i > F.col(start) + skip
+    most = lambda x: F.max(F.struct(F.col(st).alias("st"), x.alias("x"))).over(so_far())["x"]
     inside = lambda x: F.struct((-most(-x)).alias("lo"), most(x).alias("hi"))
+    begun = F.coalesce(F.last(F.when(soft.isNotNull(), F.col(soft0)), ignorenulls=True).over(so_far()), F.lit(0))
     # The second stretch follows on the first: what is still to be skipped of it depends on where the first began.
-    owed = lambda first: F.greatest(F.lit(0), F.lit(skip + 1) - (F.col("__from") - first))
-    begun = F.coalesce(F.last(F.when(F.col(soft).isNotNull(), F.col("__soft0")), ignorenulls=True).over(so_far()), F.lit(0))
-    df = df.withColumn("__soft0", F.coalesce(F.last(soft, ignorenulls=True).over(past()), F.lit(0))).withColumn("__s2", begun)
-    df = df.withColumn("__own", inside(F.when(later, F.col(c))))
-    df = df.withColumn("__all", inside(F.when(i >= F.col("__from") + owed(F.col("__s2")), F.col(c)))).withColumn("__own1", lag("__own"))
-    df = df.withColumn("__before", F.last(F.when(F.col(soft).isNotNull(), F.col("__own1")), ignorenulls=True).over(so_far()))
-    frame = by_symbol().rowsBetween(-(cap - 1 - skip), 0)
-    df = df.withColumn("__cap", extremes(F.when(i > skip, F.col(c)), frame))
-    capped, single = stop > F.col("__s2"), F.col("__st") == 0
-    pick = lambda k, f: F.when(capped, F.col(f"__cap.{k}")).when(single, F.col(f"__own.{k}")).otherwise(f(F.col(f"__before.{k}"), F.col(f"__all.{k}")))
-    df = df.withColumns({low: pick("lo", F.least), high: pick("hi", F.greatest)})
-    return df.drop("__st", "__from", "__soft0", "__s2", "__own", "__own1", "__all", "__before", "__cap")
+    owed = F.greatest(F.lit(0), F.lit(skip + 1) - (F.col(start) - F.col(s2)))
+    capped, single = stop > F.col(s2), F.col(st) == 0
+    pick = lambda k, f: F.when(capped, F.col(CAPPED)[k]).when(single, F.col(own)[k]).otherwise(f(F.col(old)[k], F.col(whole)[k]))
+    return [
+        marked, {s2: begun, own: inside(F.when(later, F.col(c)))}, {whole: inside(F.when(i >= F.col(start) + owed, F.col(c))), own1: lag(own)},
+        {old: F.last(F.when(soft.isNotNull(), F.col(own1)), ignorenulls=True).over(so_far())}, {low: pick("lo", F.least), high: pick("hi", F.greatest)},
+    ]
 
 
 def flags(*names: str) -> list[str]:
     return [f"__{n}_{k}" for n in names for k in ("soft", "hard")]
 
 
+CAP = 200  # bars that a run of the reversals goes back at most
+
+
+def reversal_run_steps() -> list[dict[str, Column]]:
+    """up_n, up_stop, down_n and down_stop, with idx before them."""
+    change = F.col("__move")
+    up, down = F.coalesce(change > 0, F.lit(False)), F.coalesce(change < 0, F.lit(False))
+    both = zip(tolerant_steps(~up, None, "up", CAP), tolerant_steps(~down, None, "down", CAP), strict=True)
+    return [{"idx": F.row_number().over(by_symbol()) - 1, "__move": F.col("close") - lag("close")}, *({**a, **b} for a, b in both)]
+
+
+REVERSAL_HELPERS = ["__move", *tolerant_helpers("up"), *tolerant_helpers("down")]
+
+
 def reversal_runs(df: DataFrame, keep_flags: bool = False) -> DataFrame:
     """up_n, up_stop and down_n, down_stop, one bar of any other direction tolerated; prior_down_* at the start of the up
     run and prior_up_* at the start of the down run. Flags stay for at_stop and since_stop if asked for."""
-    change = F.col("close") - lag("close")
-    df = indexed(df).withColumn("__chg", change)
-    up, down = F.coalesce(F.col("__chg") > 0, F.lit(False)), F.coalesce(F.col("__chg") < 0, F.lit(False))
-    none = F.lit(False)
-    df = tolerant_run(tolerant_run(df, up, ~up, none, "up", 200), down, ~down, none, "down", 200).drop("__chg")
-    df = at_stop(df, "up", 200, {"prior_down_n": "down_n", "prior_down_stop": "down_stop"})
-    df = at_stop(df, "down", 200, {"prior_up_n": "up_n", "prior_up_stop": "up_stop"})
+    df = in_steps(df, reversal_run_steps()).drop(*REVERSAL_HELPERS)
+    stops = (("up", {"prior_down_n": "down_n", "prior_down_stop": "down_stop"}), ("down", {"prior_up_n": "up_n", "prior_up_stop": "up_stop"}))
+    df = in_steps(df, *(at_stop_steps(name, CAP, values, False) for name, values in stops)).drop(*at_stop_helpers("up"), *at_stop_helpers("down"))
     return df if keep_flags else df.drop(*flags("up", "down"))
 
 
@@ -180,7 +229,7 @@ def price_pattern(df: DataFrame, n1: int = 3, d2_max: int = 20, min_up: int = 2,
     df = indexed(df).withColumn("__chg", F.col("close") - lag("close"))
     c = F.coalesce(F.col("__chg"), F.lit(0.0))
     up, down, flat = c > 1e-9, c < -1e-9, F.abs(c) < 1e-9
-    df = tolerant_run(tolerant_run(df, up, flat, down, "__u", look_back), down, flat, up, "__d", look_back).drop("__chg")
+    df = tolerant_run(tolerant_run(df, flat, down, "__u", look_back), flat, up, "__d", look_back).drop("__chg")
     df = at_stop(df, "__u", look_back, {"__d2": "__d_n"}).drop(*flags("__u", "__d"))
     d1, d2 = F.col("__u_n"), F.coalesce("__d2", F.lit(0))
     hit = (d1 >= min_up) & (d2 >= min_down) & (d2 > d1)
