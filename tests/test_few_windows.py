@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from test_runs_and_sources import bars_of, walk
+from tidemark.operators import labels as lb
 from tidemark.operators import reversal as rv
 from tidemark.operators import trends as tr
 
@@ -35,3 +36,11 @@ def test_extremes_of_the_last_bars(spark):
             for i, r in enumerate(rows):
                 span = [q["close"] for q in rows[max(0, i - n + 1) : i + 1] if q["idx"] > 1]
                 assert (r["x"]["lo"], r["x"]["hi"]) == ((min(span), max(span)) if span else (None, None)), (s, n, i)
+
+
+def test_barriers_of_both_sides_in_one_pass(spark):
+    df = with_prices(bars_of(spark, {"a": walk(random.Random(3), 300)})).withColumns({"atr": F.lit(1.5), "side": F.when(F.col("close") % 2 == 0, 1).otherwise(-1)})
+    one = {r["date"]: (r["side"], r["outcome"]) for r in lb.atr_barrier(df, F.col("side")).collect()}
+    for side in (1, -1):
+        assert all(one[r["date"]] == (side, r["outcome"]) for r in lb.atr_barrier(df, side).filter(F.col("side") == side).collect())
+    assert len({x for x in one.values()}) >= 4
