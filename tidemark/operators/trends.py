@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import by_symbol, in_steps, lag, rows, so_far
+from tidemark.functions.windows import by_symbol, in_steps, lag, last_extremes, rows, so_far
 from tidemark.operators import indicators as ind
 
 
@@ -145,19 +145,6 @@ def at_stop_steps(name: str, cap: int, values: dict[str, str], hard: bool) -> li
     return [{v: F.struct("idx", *(F.col(c).alias(n) for n, c in values.items()))}, held, {v2: carried(mark, F.coalesce(vs, v), so_far())}, {found: chosen.otherwise(F.col(vc))}, picked]
 
 
-def last_extremes(c: Column, n: int, out: str) -> list[dict[str, Column]]:
-    """Steps to out, the extremes (lo, hi) of c over the last n bars: of the last 6, of the last 36 from those of 6, and so on, so that
-    their cost grows with the logarithm of n."""
-    steps, width, now = [{out: F.struct(c.alias("lo"), c.alias("hi"))}], 1, F.col(out)
-    while width < n:
-        back = sorted({min(k * width, n - width) for k in range(1, 6)})
-        at = [now, *(lag(out, k) for k in back)]
-        both = lambda f, k, at=at: f(*(x[k] for x in at))
-        steps.append({out: F.struct(both(F.least, "lo").alias("lo"), both(F.greatest, "hi").alias("hi"))})
-        width = min(n, 6 * width)
-    return steps
-
-
 def since_stop(df: DataFrame, name: str, cap: int, c: str, low: str, high: str, skip: int = 0) -> DataFrame:
     """low and high: the extremes of c over the bars after the stop of the tolerant run `name`, less the first `skip` of them.
 
